@@ -51,6 +51,12 @@ def resolved(a: Vec) -> Column:
     return a[0].isNotNull() & a[1].isNotNull() & a[2].isNotNull()
 
 
+def staged(df, name: str, a: Vec):
+    """Materialise a vector as columns, so that later uses do not repeat its expression."""
+    df = df.withColumns({f"{name}_{axis}": p for axis, p in zip("xyz", a)})
+    return df, tuple(F.col(f"{name}_{axis}") for axis in "xyz")
+
+
 def angle(left: Vec, middle: Vec, right: Vec) -> Column:
     """Angle at ``middle`` in radians; NULL when a side has no length."""
     u, v = sub(left, middle), sub(right, middle)

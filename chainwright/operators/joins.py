@@ -130,31 +130,27 @@ def radius_pairs(
     )
 
 
-def nearest_nonadjacent(points: DataFrame, keys: Sequence[str], radius: float, gap: int = 2, widenings: int = 3) -> DataFrame:
+def nearest_nonadjacent(points: DataFrame, keys: Sequence[str], radius: float, gap: int = 2) -> DataFrame:
     """Distance from each resolved point to the closest one at least ``gap`` positions away.
 
-    A hit within the searched radius is exact.  Points without one are searched
-    again at twice the radius, and the few left after that against their whole group.
+    A hit within ``radius`` is exact, whatever lies beyond.  Only the isolated points
+    left without one are compared with their whole group, so choose a radius that
+    nearly every point meets.
     """
     keys = list(keys)
-    left = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*keys, "pos", "x", "y", "z")
-    everything = left
-    done: DataFrame | None = None
-    for step in range(widenings + 1):
-        if step < widenings:
-            near = radius_pairs(left, everything, keys, radius * 2**step, gap, ordered=False).select(*keys, F.col("i").alias("pos"), "distance")
-        else:
-            other = everything.select(*keys, F.col("pos").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"))
-            near = (
-                left.join(other, keys)
-                .where(F.abs(F.col("j") - F.col("pos")) >= gap)
-                .select(*keys, "pos", F.sqrt(sum(((F.col(a) - F.col(f"{a}j")) * (F.col(a) - F.col(f"{a}j")) for a in "xyz"), F.lit(0.0))).alias("distance"))
-            )
-        found = near.groupBy(*keys, "pos").agg(F.min("distance").alias("nearest"))
-        done = found if done is None else done.unionByName(found)
-        if step < widenings:
-            left = left.join(found, [*keys, "pos"], "left_anti")
-    return done
+    resolved = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*keys, "pos", "x", "y", "z")
+    near = radius_pairs(resolved, resolved, keys, radius, gap, ordered=False).select(*keys, F.col("i").alias("pos"), "distance")
+    found = near.groupBy(*keys, "pos").agg(F.min("distance").alias("nearest"))
+    isolated = resolved.join(found, [*keys, "pos"], "left_anti")
+    other = resolved.select(*keys, F.col("pos").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"))
+    distance = F.sqrt(sum(((F.col(a) - F.col(f"{a}j")) * (F.col(a) - F.col(f"{a}j")) for a in "xyz"), F.lit(0.0)))
+    rest = (
+        isolated.join(other, keys)
+        .where(F.abs(F.col("j") - F.col("pos")) >= gap)
+        .groupBy(*keys, "pos")
+        .agg(F.min(distance).alias("nearest"))
+    )
+    return found.unionByName(rest)
 
 
 def source_pairs(candidates: DataFrame, target: str, kind: str, confidence: str, cid: str, first: str, second: str, m: int, n: int) -> DataFrame:

@@ -153,16 +153,17 @@ def fill_gaps(points: DataFrame, keys: Sequence[str], pos: str, spacing: float =
     seg = V.sub(right, left)
     inner = V.add(V.scale(left, 1 - t), V.scale(right, t))
     if curved:
-        size = V.norm(seg)
-        d = _unit(seg, 1e-8)
+        rows, d = V.staged(rows, "d", _unit(seg, 1e-8))
         axis = V.pick(F.abs(d[0]) < 0.9, V.const(1, 0, 0), V.const(0, 1, 0))
-        u = _unit(V.sub(axis, V.scale(d, V.dot(axis, d))), 1e-8)
-        bump = F.when((gap >= 3) & (size > 1e-6), F.lit(spacing * 0.5) * F.least(F.lit(1.0), gap / 6.0) * F.sin(t * math.pi)).otherwise(0.0)
-        inner = V.add(V.add(left, V.scale(seg, t)), V.scale(u, bump))
+        rows, side = V.staged(rows, "side", V.sub(axis, V.scale(d, V.dot(axis, d))))
+        rows, u = V.staged(rows, "u", _unit(side, 1e-8))
+        bump = F.when((gap >= 3) & (V.norm(seg) > 1e-6), F.lit(spacing * 0.5) * F.least(F.lit(1.0), gap / 6.0) * F.sin(t * math.pi)).otherwise(0.0)
+        rows = rows.withColumn("bump", bump)
+        inner = V.add(V.add(left, V.scale(seg, t)), V.scale(u, F.col("bump")))
     first, second, last, before = V.vec("first"), V.vec("second"), V.vec("last"), V.vec("before_last")
     single = F.col("second").isNull()
-    out_left = _unit(V.pick(single, V.const(0, 0, -1), V.sub(first, second)), 1e-8)
-    out_right = _unit(V.pick(single, V.const(0, 0, 1), V.sub(last, before)), 1e-8)
+    rows, out_left = V.staged(rows, "ol", _unit(V.pick(single, V.const(0, 0, -1), V.sub(first, second)), 1e-8))
+    rows, out_right = V.staged(rows, "or", _unit(V.pick(single, V.const(0, 0, 1), V.sub(last, before)), 1e-8))
     cases = [
         (V.resolved(here), here, F.lit(1.0)),
         (F.col("first").isNull(), (F.lit(0.0), F.lit(0.0), at * F.lit(spacing)), F.lit(0.0)),
@@ -173,16 +174,18 @@ def fill_gaps(points: DataFrame, keys: Sequence[str], pos: str, spacing: float =
     return _emit(rows, keys, pos, cases)
 
 
-def _span_inner(left: V.Vec, right: V.Vec, span: Column, t: Column, spacing: float) -> V.Vec:
+def _span_inner(rows: DataFrame, name: str, left: V.Vec, right: V.Vec, span: Column, t: Column, spacing: float) -> tuple[DataFrame, V.Vec]:
     """Stretched and bent when the ends are closer than 0.7 of the expected span, else linear."""
     seg = V.sub(right, left)
-    expected = span * spacing
-    d = _unit(seg, 1e-10)
-    side = V.cross(d, V.const(0, 0, 1))
-    side = V.pick(V.norm(side) < 1e-6, V.cross(d, V.const(1, 0, 0)), side)
-    bent = V.add(V.add(left, V.scale(d, expected * t)), V.scale(_unit(side, 1e-10), 2.0 * F.sin(t * math.pi)))
-    straight = V.add(V.scale(left, 1 - t), V.scale(right, t))
-    return V.pick(V.norm(seg) < expected * 0.7, bent, straight)
+    rows, d = V.staged(rows, f"{name}_d", _unit(seg, 1e-10))
+    rows, side = V.staged(rows, f"{name}_s", V.cross(d, V.const(0, 0, 1)))
+    rows, side = V.staged(rows, f"{name}_p", V.pick(V.norm(side) < 1e-6, V.cross(d, V.const(1, 0, 0)), side))
+    rows, side = V.staged(rows, f"{name}_u", _unit(side, 1e-10))
+    rows = rows.withColumns({f"{name}_e": span * spacing, f"{name}_t": t})
+    expected, at = F.col(f"{name}_e"), F.col(f"{name}_t")
+    bent = V.add(V.add(left, V.scale(d, expected * at)), V.scale(side, 2.0 * F.sin(at * math.pi)))
+    straight = V.add(V.scale(left, 1 - at), V.scale(right, at))
+    return V.staged(rows, name, V.pick(V.norm(seg) < expected * 0.7, bent, straight))
 
 
 def fill_gaps_span(points: DataFrame, keys: Sequence[str], pos: str, spacing: float = 5.9) -> DataFrame:
@@ -194,17 +197,19 @@ def fill_gaps_span(points: DataFrame, keys: Sequence[str], pos: str, spacing: fl
     at = F.col(pos)
     here, left, right = V.vec(), V.vec("prev"), V.vec("next")
     span = F.col("next.at") - F.col("prev.at")
-    inner = _span_inner(left, right, span, (at - F.col("prev.at")) / span, spacing)
     first, last, before = V.vec("first"), V.vec("last"), V.vec("before_last")
     end_span = F.col("last.at") - F.col("before_last.at")
-    penultimate = V.pick(end_span == 1, before, _span_inner(before, last, end_span, (end_span - 1) / end_span, spacing))
+    rows, inner = _span_inner(rows, "in", left, right, span, (at - F.col("prev.at")) / span, spacing)
+    rows, near_end = _span_inner(rows, "end", before, last, end_span, (end_span - 1) / end_span, spacing)
     # Without an earlier resolved point the position before the last is a leading one.
-    penultimate = V.pick(F.col("before_last").isNull(), V.add(last, V.const(spacing, 0, 0)), penultimate)
-    onward = V.pick(F.col("last.at") > 0, _unit(V.sub(last, penultimate), 1e-10), V.const(1, 0, 0))
+    lone = F.col("before_last").isNull()
+    penultimate = V.pick(lone, V.add(last, V.const(spacing, 0, 0)), V.pick(end_span == 1, before, near_end))
+    rows, penultimate = V.staged(rows, "pen", penultimate)
+    rows, onward = V.staged(rows, "on", V.pick(F.col("last.at") > 0, _unit(V.sub(last, penultimate), 1e-10), V.const(1, 0, 0)))
     cases = [
         (V.resolved(here), here, F.lit(1.0)),
         (F.col("first").isNull(), (F.lit(0.0), F.lit(0.0), at * F.lit(spacing)), F.lit(0.0)),
-        (F.col("prev").isNotNull() & F.col("next").isNotNull(), inner, 0.3 * (1 - F.abs(2 * ((at - F.col("prev.at")) / span) - 1))),
+        (F.col("prev").isNotNull() & F.col("next").isNotNull(), inner, 0.3 * (1 - F.abs(2 * F.col("in_t") - 1))),
         (F.col("prev").isNull(), V.add(first, V.scale(V.const(1, 0, 0), spacing * (F.col("first.at") - at))), F.lit(0.1)),
         (F.lit(True), V.add(last, V.scale(onward, spacing * (at - F.col("last.at")))), F.lit(0.1)),
     ]

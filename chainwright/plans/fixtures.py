@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainwright.functions.sequence import normalize_seq
 from chainwright.operators import order
+from chainwright.session import widen
 
 SENTINEL = -1.0e18  # fixed value: marker of an unresolved coordinate
 RESOLVED_ABOVE = -1.0e17  # fixed value: anything below is the marker
@@ -98,9 +100,7 @@ CHAIN = """chain AS (SELECT user_id AS chain, pos, length, ok,
 
 def sequences(t) -> DataFrame:
     """doc_id, seq (normalised), plus the document columns."""
-    from chainwright.functions.sequence import normalize_seq
-
-    return t.documents.withColumn("seq", normalize_seq(F.col("text")))
+    return widen(t.documents, "doc_id").withColumn("seq", normalize_seq(F.col("text")))
 
 
 _NORM = "translate(regexp_replace(upper(replace({c}, 'ß', 'ss')), '[\\s-]', '', 'g'), 'T', 'U')"

@@ -312,8 +312,8 @@ def _(t):
 @query(
     "so05_id_set_report",
     """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0),
- c AS (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS both)
- SELECT n_a, n_b, both, n_a - both AS a_only, n_b - both AS b_only, n_a = both AS a_in_b, n_b = both AS b_in_a FROM c""",
+ c AS (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS shared)
+ SELECT n_a, n_b, shared, n_a - shared AS a_only, n_b - shared AS b_only, n_a = shared AS a_in_b, n_b = shared AS b_in_a FROM c""",
 )
 def _(t):
     return sets.id_set_report(t.orders.select(F.col("o_custkey").alias("k")), t.customer.where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("k")), "k")

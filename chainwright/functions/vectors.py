@@ -97,6 +97,17 @@ def pair_statistics(p: Vec, q: Vec, total=F.sum) -> dict[str, Column]:
     return out
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """Bind named values once inside an expression.
+
+    A one-element array carries them into a lambda.  Unlike a chain of projected
+    columns, the optimizer cannot expand the names into their definitions when it
+    pushes filters down, so long formulas stay linear in size.
+    """
+    bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(bound, body), F.lit(0))
+
+
 def with_rmsd(df, name: str = "rmsd", least: int = 3):
     """Root mean square deviation after the best proper rotation, from the sums of ``pair_statistics``.
 
@@ -105,37 +116,49 @@ def with_rmsd(df, name: str = "rmsd", least: int = 3):
     sqrt(e1), sqrt(e2) and the signed third det(H) / (s1 s2).
     """
     n = F.col("n")
-    h = {f"{a}{b}": F.col(f"h{a}{b}") - F.col(f"p{a}") * F.col(f"q{b}") / n for a in AXES for b in AXES}
-    df = df.withColumns({f"_c{k}": v for k, v in h.items()})
-    c = {k: F.col(f"_c{k}") for k in h}
-    gram = {a + b: sum((c[k + a] * c[k + b] for k in AXES), F.lit(0.0)) for a in AXES for b in AXES if a <= b}
-    det = (
-        c["xx"] * (c["yy"] * c["zz"] - c["yz"] * c["zy"])
-        - c["xy"] * (c["yx"] * c["zz"] - c["yz"] * c["zx"])
-        + c["xz"] * (c["yx"] * c["zy"] - c["yy"] * c["zx"])
-    )
-    df = df.withColumns({**{f"_g{k}": v for k, v in gram.items()}, "_det": det})
-    g = {k: F.col(f"_g{k}") for k in gram}
-    df = df.withColumn("_t", (g["xx"] + g["yy"] + g["zz"]) / 3)
-    t = F.col("_t")
-    off = g["xy"] * g["xy"] + g["xz"] * g["xz"] + g["yz"] * g["yz"]
-    spread = (g["xx"] - t) * (g["xx"] - t) + (g["yy"] - t) * (g["yy"] - t) + (g["zz"] - t) * (g["zz"] - t) + off * 2
-    df = df.withColumn("_w", F.sqrt(spread / 6))
-    w = F.col("_w")
-    m = {"xx": g["xx"] - t, "yy": g["yy"] - t, "zz": g["zz"] - t, "xy": g["xy"], "xz": g["xz"], "yz": g["yz"]}
-    det_m = (
-        m["xx"] * (m["yy"] * m["zz"] - m["yz"] * m["yz"])
-        - m["xy"] * (m["xy"] * m["zz"] - m["yz"] * m["xz"])
-        + m["xz"] * (m["xy"] * m["yz"] - m["yy"] * m["xz"])
-    )
-    r = F.when(w > 0, det_m / (w * w * w) / 2).otherwise(0.0)
-    df = df.withColumn("_f", F.acos(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))) / 3)
-    e1 = t + w * 2 * F.cos("_f")
-    e3 = t + w * 2 * F.cos(F.col("_f") + 2 * math.pi / 3)
-    df = df.withColumns({"_s1": F.sqrt(F.greatest(e1, F.lit(0.0))), "_s2": F.sqrt(F.greatest(t * 3 - e1 - e3, F.lit(0.0)))})
-    third = F.when(F.col("_s1") * F.col("_s2") > 0, F.col("_det") / (F.col("_s1") * F.col("_s2"))).otherwise(0.0)
     size = lambda s: F.col(s * 2) - sum((F.col(f"{s}{a}") * F.col(f"{s}{a}") for a in AXES), F.lit(0.0)) / n
-    square = (size("p") + size("q") - (F.col("_s1") + F.col("_s2") + third) * 2) / n
-    value = F.when(n >= least, F.sqrt(F.greatest(square, F.lit(0.0))))
-    hidden = [x for x in df.columns if x.startswith("_")]
-    return df.withColumn(name, value).drop(*hidden)
+    covariance = {f"{a}{b}": F.col(f"h{a}{b}") - F.col(f"p{a}") * F.col(f"q{b}") / n for a in AXES for b in AXES}
+    covariance["g"] = size("p") + size("q")
+
+    def gram(c):
+        values = {a + b: sum((c[k + a] * c[k + b] for k in AXES), F.lit(0.0)) for a in AXES for b in AXES if a <= b}
+        values["det"] = (
+            c["xx"] * (c["yy"] * c["zz"] - c["yz"] * c["zy"])
+            - c["xy"] * (c["yx"] * c["zz"] - c["yz"] * c["zx"])
+            + c["xz"] * (c["yx"] * c["zy"] - c["yy"] * c["zx"])
+        )
+        values["t"] = (values["xx"] + values["yy"] + values["zz"]) / 3
+        values["g"] = c["g"]
+        return let(values, shifted)
+
+    def shifted(m):
+        values = {k + k: m[k + k] - m["t"] for k in AXES}
+        values |= {k: m[k] for k in ("xy", "xz", "yz", "det", "t", "g")}
+        return let(values, shape)
+
+    def shape(m):
+        off = m["xy"] * m["xy"] + m["xz"] * m["xz"] + m["yz"] * m["yz"]
+        w = F.sqrt((m["xx"] * m["xx"] + m["yy"] * m["yy"] + m["zz"] * m["zz"] + off * 2) / 6)
+        det = (
+            m["xx"] * (m["yy"] * m["zz"] - m["yz"] * m["yz"])
+            - m["xy"] * (m["xy"] * m["zz"] - m["yz"] * m["xz"])
+            + m["xz"] * (m["xy"] * m["yz"] - m["yy"] * m["xz"])
+        )
+        return let({"w": w, "d": det, "det": m["det"], "t": m["t"], "g": m["g"]}, roots)
+
+    def roots(m):
+        r = F.when(m["w"] > 0, m["d"] / (m["w"] * m["w"] * m["w"]) / 2).otherwise(0.0)
+        phi = F.acos(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))) / 3
+        e1 = lambda v: v["t"] + v["w"] * 2 * F.cos(v["phi"])
+        e3 = lambda v: v["t"] + v["w"] * 2 * F.cos(v["phi"] + 2 * math.pi / 3)
+        singular = lambda v: let(
+            {"s1": F.sqrt(F.greatest(e1(v), F.lit(0.0))), "s2": F.sqrt(F.greatest(v["t"] * 3 - e1(v) - e3(v), F.lit(0.0))), "det": v["det"], "g": v["g"]}, total
+        )
+        return let({"phi": phi, "w": m["w"], "t": m["t"], "det": m["det"], "g": m["g"]}, singular)
+
+    def total(v):
+        third = F.when(v["s1"] * v["s2"] > 0, v["det"] / (v["s1"] * v["s2"])).otherwise(0.0)
+        return v["g"] - (v["s1"] + v["s2"] + third) * 2
+
+    square = let(covariance, gram) / n
+    return df.withColumn(name, F.when(n >= least, F.sqrt(F.greatest(square, F.lit(0.0)))))

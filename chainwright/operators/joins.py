@@ -95,25 +95,26 @@ def pair_settings(df: DataFrame, keys: Sequence[str], setting: str, a: str, b: s
 
 
 def radius_pairs(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float, min_separation: int = 1, ordered: bool = True
+    left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float, min_separation: int = 1, ordered: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs of resolved points of one group within ``radius`` (inclusive), with their distance.
 
     Both sides carry keys, pos, x, y, z.  Points are hashed to cubes of the radius'
     size and joined on (keys, cube) with the 27 surrounding cubes, so the work
     follows the number of near pairs and one large group spreads over its cubes.
-    ``ordered`` keeps i < j only.
+    ``ordered`` keeps i < j only; ``carry`` columns return as ``<name>_i``, ``<name>_j``.
     """
     keys = list(keys)
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     steps = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip((a, b, c), "abc")]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
     resolved = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
     i_side = left.where(resolved).select(
-        *keys, F.col("pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"),
+        *keys, F.col("pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"), *[F.col(c).alias(f"{c}_i") for c in carry],
         F.explode(F.transform(steps, lambda s: F.struct((cell("x") + s.a).alias("cx"), (cell("y") + s.b).alias("cy"), (cell("z") + s.c).alias("cz")))).alias("_c"),
     ).select("*", "_c.cx", "_c.cy", "_c.cz").drop("_c")
     j_side = right.where(resolved).select(
-        *keys, F.col("pos").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"),
+        *keys, F.col("pos").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"), *[F.col(c).alias(f"{c}_j") for c in carry],
         cell("x").alias("cx"), cell("y").alias("cy"), cell("z").alias("cz"),
     )
     distance = F.sqrt(
@@ -125,7 +126,7 @@ def radius_pairs(
     return (
         i_side.join(j_side, [*keys, "cx", "cy", "cz"])
         .where(apart)
-        .select(*keys, "i", "j", distance.alias("distance"))
+        .select(*keys, "i", "j", *[f"{c}_{s}" for c in carry for s in "ij"], distance.alias("distance"))
         .where(F.col("distance") <= radius)
     )
 

@@ -33,7 +33,7 @@ def order_bucket(value: Column, resolution: int = 256) -> Column:
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bucket: Column | None = None) -> DataFrame:
-    """One row per distinct value of each key: its count, how many rows are smaller, and n.
+    """One row per distinct value of each key: its count, how many rows are smaller, n, and the key's value span.
 
     Counting comes first (map-side combine), so copies of a value cost one row.
     """
@@ -44,12 +44,15 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bucket: Column |
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("_bucket", order_bucket(F.col(value)) if bucket is None else bucket)
     )
-    per_bucket = counted.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_in_bucket"))
+    per_bucket = counted.groupBy(*keys, "_bucket").agg(
+        F.sum("cnt").alias("_in_bucket"), F.min(value).alias("_low"), F.max(value).alias("_high")
+    )
     prefix = per_bucket.select(
         *keys,
         "_bucket",
         (F.sum("_in_bucket").over(_window(keys).orderBy("_bucket")) - F.col("_in_bucket")).alias("_ahead"),
         F.sum("_in_bucket").over(_window(keys)).alias("n"),
+        (F.max("_high").over(_window(keys)) - F.min("_low").over(_window(keys))).alias("span"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return counted.join(prefix, [*keys, "_bucket"]).select(
@@ -58,6 +61,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bucket: Column |
         "cnt",
         (F.col("_ahead") + F.sum("cnt").over(inside) - F.col("cnt")).alias("before"),
         "n",
+        "span",
     )
 
 
@@ -77,16 +81,12 @@ def percentiles(
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *aggregates)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per key with their tie-averaged rank (1-based) and n."""
-    return value_ranks(df, keys, value).select(
-        *keys, value, (F.col("before") + (F.col("cnt") + 1) / 2).alias("rank"), "n"
-    )
-
-
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Attach the tie-averaged rank of ``value`` inside each key; NULL values stay NULL."""
-    ranks = average_ranks(df, keys, value).select(*keys, value, F.col("rank").alias(name), F.col("n").alias(f"{name}_n"))
+    """Attach the tie-averaged rank (1-based) of ``value`` inside each key, with ``<name>_n`` and ``<name>_span``."""
+    rank = F.col("before") + (F.col("cnt") + 1) / 2
+    ranks = value_ranks(df, keys, value).select(
+        *keys, value, rank.alias(name), F.col("n").alias(f"{name}_n"), F.col("span").alias(f"{name}_span")
+    )
     return df.join(ranks, [*keys, value], "left")
 
 

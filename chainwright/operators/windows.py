@@ -222,9 +222,9 @@ def fill_gaps_span(points: DataFrame, keys: Sequence[str], pos: str, spacing: fl
 def rank01(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank01", higher: bool = True, flat: float = 1e-12) -> DataFrame:
     """Tie-averaged rank scaled to [0, 1]; 0.5 where the group is constant or single."""
     ranked = order.with_average_rank(df, keys, value, "_rank")
-    ranked = order.attach(ranked, keys, (F.max(value) - F.min(value)).alias("_range")) if keys else ranked.withColumn("_range", df.agg(F.max(value) - F.min(value)).scalar())
-    score = F.when((F.col("_rank_n") <= 1) | (F.col("_range") <= flat), F.lit(0.5)).otherwise((F.col("_rank") - 1) / (F.col("_rank_n") - 1))
-    return ranked.withColumn(name, score if higher else 1 - score).drop("_rank", "_rank_n", "_range")
+    constant = (F.col("_rank_n") <= 1) | (F.col("_rank_span") <= flat)
+    score = F.when(constant, F.lit(0.5)).otherwise((F.col("_rank") - 1) / (F.col("_rank_n") - 1))
+    return ranked.withColumn(name, score if higher else 1 - score).drop("_rank", "_rank_n", "_rank_span")
 
 
 def relative_confidence(df: DataFrame, keys: Sequence[str], value: str, name: str = "relative_confidence") -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainwright.functions.sequence import kmers
+from chainwright.session import durable
 
 
 def repeat_share(df: DataFrame, keys: Sequence[str], seq: str, width: int = 3) -> DataFrame:
@@ -51,3 +55,273 @@ def composite_scores(df: DataFrame, signals: Sequence[str], families: Mapping[st
     spread = df.withColumn("_f", F.explode(table))
     total = sum((F.col("_f._w")[i] * F.col(s) for i, s in enumerate(signals)), F.lit(0.0))
     return spread.select(*df.columns, F.col("_f.family").alias("family"), total.alias("composite"))
+
+
+# ---------------------------------------------------------------- k-mer retrieval and overlap
+
+
+def kmer_rows(df: DataFrame, keys: Sequence[str], seq: str, k: int) -> DataFrame:
+    """Distinct k-mers of each sequence; duplicates go away inside the row, before any shuffle."""
+    return df.select(*keys, F.explode(F.array_distinct(kmers(F.col(seq), k))).alias("kmer"))
+
+
+def shared_kmers(queries: DataFrame, library: DataFrame, qid: str, tid: str, seq: str, k: int) -> DataFrame:
+    """Shared distinct k-mers and k-mer counts of both sides for every pair that shares any.
+
+    The library side is never shuffled by k-mer when the query index is small enough
+    for a measured broadcast; its partial counts then combine inside each task.
+    """
+    q = queries.select(qid, F.array_distinct(kmers(F.col(seq), k)).alias("_w")).select(qid, F.size("_w").alias("q_kmers"), F.explode("_w").alias("kmer"))
+    t = library.select(tid, F.array_distinct(kmers(F.col(seq), k)).alias("_w")).select(tid, F.size("_w").alias("t_kmers"), F.explode("_w").alias("kmer"))
+    return t.join(q, "kmer").groupBy(qid, tid, "q_kmers", "t_kmers").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def kmer_retrieve(queries: DataFrame, library: DataFrame, qid: str, tid: str, seq: str, k: int = 13, most: int = 300) -> DataFrame:
+    """Best ``most`` library entries per query by shared k-mers, then id."""
+    from chainwright.operators.topk import topn
+
+    return topn(shared_kmers(queries, library, qid, tid, seq, k), [qid], [F.desc("shared"), F.col(tid)], most, rank="rank")
+
+
+def near_overlap(targets: DataFrame, corpus: DataFrame, tid: str, cid: str, seq: str, k: int = 13, identity: float = 0.8, coverage: float = 0.0) -> DataFrame:
+    """Hits, largest containments and a PASS / EXCLUDE status per target.
+
+    Containment of the target's k-mers stands in for identity and query coverage,
+    containment of the entry's k-mers for target coverage.
+    """
+    pairs = shared_kmers(targets, corpus, tid, cid, seq, k)
+    scored = pairs.select(tid, (F.col("shared") / F.col("q_kmers")).alias("_q"), (F.col("shared") / F.col("t_kmers")).alias("_t"))
+    hit = (F.col("_q") >= identity) & (F.col("_t") >= coverage)
+    summary = scored.groupBy(tid).agg(F.count_if(hit).alias("hits"), F.max("_q").alias("max_query_coverage"), F.max("_t").alias("max_target_coverage"))
+    return targets.select(tid).join(summary, tid, "left").select(
+        tid,
+        F.coalesce("hits", F.lit(0).cast("long")).alias("hits"),
+        F.coalesce("max_query_coverage", F.lit(0.0)).alias("max_query_coverage"),
+        F.coalesce("max_target_coverage", F.lit(0.0)).alias("max_target_coverage"),
+        F.when(F.coalesce("hits", F.lit(0)) > 0, "EXCLUDE").otherwise("PASS").alias("status"),
+    )
+
+
+def exact_overlap(targets: DataFrame, corpus: DataFrame, tid: str, cid: str, source: str, seq: str) -> DataFrame:
+    """Per target: how often its exact sequence occurs in the corpus, in how many sources, and first id.
+
+    The corpus is reduced to one row per digest first, so copies never multiply.
+    """
+    digest = F.sha2(F.col(seq), 256).alias("_d")
+    index = corpus.select(digest, cid, source).groupBy("_d").agg(
+        F.count(F.lit(1)).alias("matches"), F.count_distinct(source).alias("sources"), F.min(cid).alias("first_id")
+    )
+    joined = targets.select(tid, digest).join(index, "_d", "left")
+    return joined.select(tid, F.coalesce("matches", F.lit(0).cast("long")).alias("matches"), F.coalesce("sources", F.lit(0).cast("long")).alias("sources"), "first_id")
+
+
+def mention_audit(docs: DataFrame, ids: DataFrame, did: str, text: str, key: str, pattern: str) -> DataFrame:
+    """Documents that mention each candidate id, with the decision.
+
+    Tokens are de-duplicated inside the row; the evidence is summarised by count,
+    first and last document instead of an unbounded list (``mentions`` has them all).
+    """
+    found = mentions(docs, ids, did, text, key, pattern)
+    summary = found.groupBy(key).agg(F.count(F.lit(1)).alias("mentions"), F.min(did).alias("first_doc"), F.max(did).alias("last_doc"))
+    return ids.select(key).join(summary, key, "left").select(
+        key, F.coalesce("mentions", F.lit(0).cast("long")).alias("mentions"), "first_doc", "last_doc", F.when(F.col("mentions") > 0, "EXCLUDE").otherwise("NONE").alias("decision")
+    )
+
+
+def mentions(docs: DataFrame, ids: DataFrame, did: str, text: str, key: str, pattern: str) -> DataFrame:
+    """One row per (id, document) mention."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
+    return docs.select(did, F.explode(tokens).alias(key)).join(ids.select(key), key)
+
+
+# ---------------------------------------------------------------- stems
+
+
+def _stem_words(df: DataFrame, keys: Sequence[str], seq: str, width: int) -> DataFrame:
+    words = F.posexplode(kmers(F.col(seq), width)).alias("i", "word")
+    spread = df.select(*keys, words).where(F.col("word").rlike(f"^[ACGU]{{{width}}}$"))
+    return spread.withColumn("partner", F.reverse(F.translate("word", "ACGU", "UGCA")))
+
+
+def stems(df: DataFrame, keys: Sequence[str], seq: str, width: int = 3, loop: int = 3) -> DataFrame:
+    """All (i, j) starts whose words pair in reverse complement across at least ``loop`` positions."""
+    words = _stem_words(df, keys, seq, width)
+    right = words.select(*keys, F.col("word").alias("partner"), F.col("i").alias("j"))
+    return words.join(right, [*keys, "partner"]).where(F.col("j") >= F.col("i") + width + loop).select(*keys, "i", "j")
+
+
+def stem_counts(df: DataFrame, keys: Sequence[str], seq: str, width: int = 3, loop: int = 3) -> DataFrame:
+    """Stems per sequence and the positions that start one, counted without listing the pairs.
+
+    A word and its partner share a group; a running count of each kind up to a
+    position leaves the number of partners still to come.
+    """
+    words = _stem_words(df, keys, seq, width).withColumn("_pair", F.least("word", "partner"))
+    group = Window.partitionBy(*keys, "_pair")
+    near = group.orderBy("i").rangeBetween(Window.unboundedPreceding, width + loop - 1)
+    lower = (F.col("word") == F.col("_pair")).cast("int")
+    left = lambda flag: F.sum(flag).over(group) - F.sum(flag).over(near)
+    counted = words.withColumn("_n", F.when(lower == 1, left(1 - lower)).otherwise(left(lower)))
+    return counted.groupBy(*keys).agg(F.sum("_n").alias("stems"), F.count_if(F.col("_n") > 0).alias("starts"))
+
+
+# ---------------------------------------------------------------- similarity clusters
+
+
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) with the smallest node of each connected component.
+
+    Minimum-label exchange with pointer jumping; each round is checkpointed and the
+    loop ends when a round changes nothing.
+    """
+    both = durable(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    labels = durable(nodes.select("node", F.col("node").alias("label")))
+    while True:
+        heard = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("_h")).withColumnRenamed("u", "node")
+        lowered = labels.join(heard, "node", "left").select("node", F.col("label").alias("_old"), F.least("label", F.coalesce("_h", "label")).alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("_further"))
+        stepped = durable(lowered.join(jump, "label", "left").select("node", "_old", F.least("label", F.coalesce("_further", "label")).alias("label")))
+        labels = stepped.select("node", "label")
+        if stepped.where(F.col("_old") != F.col("label")).isEmpty():
+            return labels
+
+
+def similarity_clusters(df: DataFrame, key: str, seq: str, k: int = 13, share: float = 0.8) -> DataFrame:
+    """Clusters of sequences linked when both hold at least ``share`` of their k-mers in common.
+
+    Exact at every step: identical texts are collapsed first.  Two texts that pass
+    must share one of their rarest ``n - ceil(share n) + 1`` k-mers, so only those
+    prefixes are joined.  Every member of a prefix bucket is compared with the
+    bucket's first member; buckets that then lie in one component are done, so a
+    large group of near copies costs one comparison per member.  Only buckets that
+    still span components compare members of different components.
+    """
+    digest = df.select(key, F.sha2(F.col(seq), 256).alias("_d"), seq)
+    leaders = digest.groupBy("_d").agg(F.min(key).alias("node"), F.any_value(seq).alias("_s"))
+    sets = durable(leaders.select("_d", "node", F.array_distinct(kmers(F.col("_s"), k)).alias("words")))
+    words = sets.select("node", F.size("words").alias("n"), F.explode("words").alias("kmer"))
+    rarity = words.groupBy("kmer").agg(F.count(F.lit(1)).alias("_df"))
+    kept = F.col("n") - F.ceil(F.col("n") * share) + 1
+    order_in_text = Window.partitionBy("node").orderBy("_df", "kmer")
+    shared_words = words.join(rarity.where(F.col("_df") > 1), "kmer", "left")
+    prefix = shared_words.withColumn("_df", F.coalesce("_df", F.lit(1))).withColumn("_r", F.row_number().over(order_in_text)).where(F.col("_r") <= kept)
+    buckets = durable(prefix.where(F.col("_df") > 1).select("kmer", "node", "n"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("node").alias("a"), F.col("words").alias("wa"))
+        right = sets.select(F.col("node").alias("b"), F.col("words").alias("wb"))
+        common = F.size(F.array_intersect("wa", "wb"))
+        enough = (common >= share * F.size("wa")) & (common >= share * F.size("wb"))
+        return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+    near = lambda x, y: F.least(x, y) >= share * F.greatest(x, y)
+    heads = buckets.groupBy("kmer").agg(F.min(F.struct("node", "n")).alias("_h"))
+    starred = buckets.join(heads, "kmer").where((F.col("node") != F.col("_h.node")) & near(F.col("n"), F.col("_h.n")))
+    star = durable(verified(starred.select(F.col("_h.node").alias("a"), F.col("node").alias("b")).distinct()))
+    labels = _components(sets.select("node"), star)
+    tagged = buckets.join(labels, "node")
+    open_buckets = tagged.groupBy("kmer").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("kmer")
+    rest = durable(tagged.join(open_buckets, "kmer", "left_semi"))
+    other = rest.select("kmer", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    cross = rest.join(other, "kmer").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")) & near(F.col("n"), F.col("nb")))
+    edges = durable(star.unionByName(verified(cross.select(F.col("node").alias("a"), "b").distinct())))
+    final = _components(sets.select("node"), edges)
+    named = sets.select("_d", "node").join(final, "node").select("_d", "label")
+    return digest.select(key, "_d").join(named, "_d").select(key, F.col("label").alias("cluster"))
+
+
+# ---------------------------------------------------------------- alignment of blocked pairs
+
+
+def _align(a: str, b: str, match: float, mismatch: float, opening: float, extension: float, local: bool, free_ends: bool):
+    """Affine-gap score and aligned index pairs of one pair, one vectorised row of b at a time."""
+    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    n, m = len(x), len(y)
+    edge = lambda size: np.zeros(size + 1) if local or free_ends else np.concatenate([[0.0], opening + extension * np.arange(size)])
+    top, side = edge(m), edge(n)
+    best, up = top.copy(), np.full(m + 1, -np.inf)
+    step = extension * np.arange(m + 1)
+    choice = np.zeros((n + 1, m + 1), np.int8)  # 0 stop, 1 diagonal, 2 up, 3 left
+    widen = np.zeros((n + 1, m + 1), bool)  # the upward gap goes on
+    peak, at = 0.0, (0, 0)
+    for i in range(1, n + 1):
+        longer = up + extension
+        up = np.maximum(best + opening, longer)
+        widen[i] = longer >= best + opening
+        diagonal = np.concatenate([[-np.inf], best[:-1] + np.where(y == x[i - 1], match, mismatch)])
+        row = np.maximum(diagonal, up)
+        row[0] = side[i]
+        # A horizontal gap opened at k costs opening + extension * (j - k - 1).
+        reach = np.maximum.accumulate(row - step)
+        across = np.concatenate([[-np.inf], reach[:-1] + opening + step[1:] - extension])
+        total = np.maximum(row, across)
+        choice[i] = np.where(across > row, 3, np.where(diagonal >= up, 1, 2))
+        if local:
+            choice[i][total <= 0] = 0
+            total = np.maximum(total, 0.0)
+            j = int(total.argmax())
+            if total[j] > peak:
+                peak, at = float(total[j]), (i, j)
+        choice[i][0] = 0
+        best = total
+        if free_ends and best[m] > (peak if i > 1 else -np.inf):
+            peak, at = float(best[m]), (i, m)
+    if free_ends:
+        j = int(best.argmax())
+        if best[j] >= peak or n == 0:
+            peak, at = float(best[j]), (n, j)
+    elif not local:
+        peak, at = float(best[m]), (n, m)
+    pairs, (i, j) = [], at
+    while i > 0 and j > 0 and choice[i, j]:
+        move = choice[i, j]
+        if move == 1:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif move == 2:
+            while i > 1 and widen[i, j]:
+                i -= 1
+            i -= 1
+        else:
+            j -= 1
+    return peak, pairs[::-1]
+
+
+def alignment_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Global and local scores of blocked pairs over twice the shorter length.
+
+    Alignment has no column-expression form; it runs in Arrow batches on pairs that
+    retrieval has already selected, never on a cross product.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def scores(x: pd.Series, y: pd.Series) -> pd.Series:
+        scale = [2.0 * min(len(p), len(q)) for p, q in zip(x, y)]
+        modes = [[_align(p, q, 2.9, -1.0, -10.0, -0.5, local, False)[0] for local in (False, True)] for p, q in zip(x, y)]
+        return pd.Series([[v / s for v in m] if s else [0.0, 0.0] for m, s in zip(modes, scale)])
+
+    scored = pairs.withColumn("_s", scores(a, b))
+    return scored.withColumns({"global_score": F.get("_s", F.lit(0)), "local_score": F.get("_s", F.lit(1))}).drop("_s")
+
+
+def correspondence(pairs: DataFrame, query: str, template: str) -> DataFrame:
+    """Aligned positions (qpos, tpos) of blocked pairs: match 2, mismatch -1, gaps -6 / -0.5, free ends."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("qpos", T.IntegerType()), T.StructField("tpos", T.IntegerType())])))
+    def aligned(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[{"qpos": i, "tpos": j} for i, j in _align(p, q, 2.0, -1.0, -6.0, -0.5, False, True)[1]] for p, q in zip(x, y)])
+
+    return pairs.withColumn("columns", aligned(query, template))
+
+
+def align_transfer(pairs: DataFrame, keys: Sequence[str], query: str, template: str) -> DataFrame:
+    """Identity over aligned columns and coverage of the query, from the exploded correspondence."""
+    rows = correspondence(pairs, query, template).withColumns({"_m": F.size("columns"), "_q": F.split(query, ""), "_t": F.split(template, "")})
+    same = F.size(F.filter("columns", lambda c: F.get("_q", c.qpos) == F.get("_t", c.tpos)))
+    return rows.select(*keys, F.col("_m").alias("aligned"), (same / F.nullif("_m", F.lit(0))).alias("identity"), (F.col("_m") / F.length(query)).alias("coverage"))
+
+
+def transfer_points(pairs: DataFrame, keys: Sequence[str], points: DataFrame, template_key: str, query: str, template: str) -> DataFrame:
+    """Template coordinates at the query positions they align to."""
+    columns = correspondence(pairs, query, template).select(*keys, F.inline("columns"))
+    return columns.join(points.withColumnRenamed("pos", "tpos"), [template_key, "tpos"]).select(*keys, F.col("qpos").alias("pos"), "x", "y", "z")

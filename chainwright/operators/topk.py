@@ -160,3 +160,85 @@ def mixed_pairs(df: DataFrame, target: Sequence[str], cluster: str, kind: str, q
     )
     mixed = grouped.where((F.col("_f") > 0) & (F.col("_s") > 0)).drop("_f", "_s")
     return topn(mixed, target, [F.desc("size"), F.desc("best_quality"), F.col(cluster)], n, rank="rank")
+
+
+# ---------------------------------------------------------------- diversity
+#
+# The pools below come from ``percentile_cap`` (at most 50 rows per key), which bounds each group.
+
+
+def farthest_first(pool: DataFrame, keys: Sequence[str], cid: str, score: str, features: str, n: int) -> DataFrame:
+    """Spread n centres over a capped pool, assign every row to the closest, and take each group's best."""
+    return _clustered_pick(pool, keys, cid, score, features, n, refine=0)
+
+
+def kmeans_pick(pool: DataFrame, keys: Sequence[str], cid: str, score: str, features: str, n: int, rounds: int = 25) -> DataFrame:
+    """As ``farthest_first`` with centres refined as means; for pools of fifteen rows or more."""
+    return _clustered_pick(pool, keys, cid, score, features, n, refine=rounds)
+
+
+def _clustered_pick(pool: DataFrame, keys: Sequence[str], cid: str, score: str, features: str, n: int, refine: int) -> DataFrame:
+    keys = list(keys)
+
+    def pick(frame):
+        import numpy as np
+
+        frame = frame.sort_values([score, cid], ascending=[False, True]).reset_index(drop=True)
+        data = np.stack(frame[features].to_numpy()).astype(float)
+        chosen = [0]
+        gap = np.linalg.norm(data - data[0], axis=1)
+        while len(chosen) < min(n, len(frame)):
+            gap[chosen] = -1.0
+            chosen.append(int(gap.argmax()))
+            gap = np.minimum(gap, np.linalg.norm(data - data[chosen[-1]], axis=1))
+        centres = data[chosen]
+        for _ in range(refine if len(frame) >= 15 else 0):
+            label = np.linalg.norm(data[:, None] - centres[None], axis=2).argmin(axis=1)
+            moved = np.stack([data[label == i].mean(axis=0) if (label == i).any() else c for i, c in enumerate(centres)])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        label = np.linalg.norm(data[:, None] - centres[None], axis=2).argmin(axis=1)
+        return frame.assign(cluster=label.astype("int64")).groupby("cluster", sort=True).head(1)[[*keys, cid, score, "cluster"]]
+
+    types = dict(pool.dtypes)
+    schema = ", ".join([f"{c} {types[c]}" for c in (*keys, cid, score)] + ["cluster long"])
+    return pool.select(*keys, cid, score, features).groupBy(*keys).applyInPandas(pick, schema)
+
+
+def mmr_select(
+    candidates: DataFrame, keys: Sequence[str], cid: str, quality: str, cluster: str, vector: str, n: int,
+    diversity: float = 0.25, bonus: float = 0.20, support: float = 0.10,
+) -> DataFrame:
+    """Greedy quality-diversity choice: n rounds, each an aggregation and a join over all keys at once.
+
+    Only the similarity to the row just chosen is computed in a round, so no pair
+    matrix exists and a key of any size is handled by many tasks.
+    """
+    from chainwright.functions.sequence import cosine
+    from chainwright.session import durable
+
+    keys = list(keys)
+    sizes = candidates.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("_size"))
+    biggest = sizes.groupBy(*keys).agg(F.max("_size").alias("_most"))
+    state = candidates.join(sizes.join(biggest, keys), [*keys, cluster]).select(
+        *keys, cid, quality, cluster, vector, (F.col("_size") / F.col("_most")).alias("_support"), F.lit(0.0).alias("_redundant"), F.lit(False).alias("_used")
+    )
+    state = durable(state)
+    picked = None
+    for step in range(1, n + 1):
+        value = F.col(quality) + support * F.col("_support") + F.when(F.col("_used"), 0.0).otherwise(bonus) - diversity * F.col("_redundant")
+        order = F.struct((-value).alias("v"), (-F.col(quality)).alias("q"), F.col(cid).alias("i"))
+        won = state.groupBy(*keys).agg(F.min_by(F.struct(F.col(cid).alias("_id"), F.col(cluster).alias("_c"), F.col(vector).alias("_vec")), order).alias("_w"))
+        won = durable(won.select(*keys, "_w._id", "_w._c", "_w._vec"))
+        chosen = won.select(*keys, F.col("_id").alias(cid), F.col("_c").alias(cluster), F.lit(step).alias("rank"))
+        picked = chosen if picked is None else picked.unionByName(chosen)
+        near = cosine(F.col(vector), F.col("_vec"))
+        # The first choice sets the redundancy, later ones can only raise it.
+        raised = near if step == 1 else F.greatest("_redundant", near)
+        state = durable(
+            state.join(won, keys)
+            .where(F.col(cid) != F.col("_id"))
+            .select(*keys, cid, quality, cluster, vector, "_support", raised.alias("_redundant"), (F.col("_used") | (F.col(cluster) == F.col("_c"))).alias("_used"))
+        )
+    return picked

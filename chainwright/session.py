@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,9 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate files, under the shared folder the session names."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chainwright-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -118,10 +118,13 @@ def _atom_text(t):
 
 @query(
     "src09_read_atoms",
-    f"WITH {PTS} SELECT CAST(count(*) AS BIGINT) AS residues, CAST(pos + 1 AS INTEGER) AS resid FROM pts WHERE x IS NOT NULL AND structure = 3 GROUP BY 2",
+    f"WITH {PTS} SELECT structure AS target, CAST(count(*) AS BIGINT) AS residues, CAST(min(pos) + 1 AS INTEGER) AS first_resid, CAST(max(pos) + 1 AS INTEGER) AS last_resid FROM pts WHERE x IS NOT NULL GROUP BY 1",
 )
 def _(t):
-    return files.read_atoms(t.spark, _atom_text(t) + "/target=3").groupBy("resid").agg(F.count(F.lit(1)).alias("residues"))
+    atoms = files.read_atoms(t.spark, _atom_text(t))
+    return atoms.groupBy(F.col("target").cast("long").alias("target")).agg(
+        F.count(F.lit(1)).alias("residues"), F.min("resid").alias("first_resid"), F.max("resid").alias("last_resid")
+    )
 
 
 def _atoms(t):
@@ -140,9 +143,9 @@ def _atoms(t):
     return files.canonical_base(rows, "resname"), preference
 
 
-_ATOMS = """at AS (SELECT *, CASE upper(resname) WHEN 'A' THEN 'A' WHEN 'C' THEN 'C' WHEN 'DG' THEN 'G' WHEN 'PSU' THEN 'U' WHEN 'T' THEN 'U' ELSE 'N' END AS base FROM (SELECT l_orderkey AS chain, l_suppkey % 2 AS model, l_linestatus = 'F' AS polymer, l_linenumber AS resid, ['A', 'C', 'DG', 'psu', 'T', 'XX'][l_partkey % 6 + 1] AS resname,
-  CASE WHEN l_tax < 0.07 THEN l_quantity END AS x, l_discount, l_partkey, l_extendedprice FROM lineitem)), fm AS (SELECT chain, min(model) AS model FROM at GROUP BY 1),
- rs AS (SELECT * FROM (SELECT at.*, row_number() OVER (PARTITION BY at.chain, resid ORDER BY l_discount DESC, l_partkey, l_extendedprice) AS k FROM at JOIN fm ON fm.chain = at.chain AND fm.model = at.model WHERE polymer) WHERE k = 1),
+_ATOMS = """atm AS (SELECT *, CASE upper(resname) WHEN 'A' THEN 'A' WHEN 'C' THEN 'C' WHEN 'DG' THEN 'G' WHEN 'PSU' THEN 'U' WHEN 'T' THEN 'U' ELSE 'N' END AS base FROM (SELECT l_orderkey AS chain, l_suppkey % 2 AS model, l_linestatus = 'F' AS polymer, l_linenumber AS resid, ['A', 'C', 'DG', 'psu', 'T', 'XX'][l_partkey % 6 + 1] AS resname,
+  CASE WHEN l_tax < 0.07 THEN l_quantity END AS x, l_discount, l_partkey, l_extendedprice FROM lineitem)), fm AS (SELECT chain, min(model) AS model FROM atm GROUP BY 1),
+ rs AS (SELECT * FROM (SELECT atm.*, row_number() OVER (PARTITION BY atm.chain, resid ORDER BY l_discount DESC, l_partkey, l_extendedprice) AS k FROM atm JOIN fm ON fm.chain = atm.chain AND fm.model = atm.model WHERE polymer) WHERE k = 1),
  sm AS (SELECT chain, CAST(count(*) AS BIGINT) AS length, CAST(count(x) AS BIGINT) AS n_resolved, CAST(count(CASE WHEN base = 'N' THEN 1 END) AS BIGINT) AS n_unknown FROM rs GROUP BY 1 HAVING count(x) > 0),
  ok AS (SELECT rs.* FROM rs JOIN sm USING (chain))"""
 
@@ -160,12 +163,12 @@ def _(t):
     return files.strict_chains(files.chains_from_atoms(*_atoms(t))[0], F.col("chain") % 50)
 
 
-@query("src12_canonical_base", f"WITH {_ATOMS} SELECT resname, base, CAST(count(*) AS BIGINT) AS n FROM at GROUP BY 1, 2")
+@query("src12_canonical_base", f"WITH {_ATOMS} SELECT resname, base, CAST(count(*) AS BIGINT) AS n FROM atm GROUP BY 1, 2")
 def _(t):
     return _atoms(t)[0].groupBy("resname", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src12_unmapped_counts", f"WITH {_ATOMS} SELECT resname, CAST(count(*) AS BIGINT) AS n FROM at WHERE base = 'N' GROUP BY 1")
+@query("src12_unmapped_counts", f"WITH {_ATOMS} SELECT resname, CAST(count(*) AS BIGINT) AS n FROM atm WHERE base = 'N' GROUP BY 1")
 def _(t):
     return files.unmapped_counts(_atoms(t)[0], "resname")
 

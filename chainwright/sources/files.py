@@ -109,13 +109,18 @@ def read_release_dates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_atoms(spark: SparkSession, path: str, atom: str = "C1'") -> DataFrame:
-    """One named atom per residue from fixed-column text: the first of alternates, finite coordinates only."""
-    lines = spark.read.text(path).withColumn("_no", F.monotonically_increasing_id())
+    """One named atom per residue from fixed-column text: the first of alternates, finite coordinates only.
+
+    Partition folders of the path (such as ``target=...``) become part of the key.
+    """
+    text = spark.read.text(path)
+    folders = [c for c in text.columns if c != "value"]
+    lines = text.withColumn("_no", F.monotonically_increasing_id())
     cut = lambda start, size: F.trim(F.substring("value", start, size))
     atoms = lines.where(F.col("value").rlike("^(ATOM  |HETATM)") & (cut(13, 4) == atom)).select(
-        cut(22, 1).alias("chain"), cut(23, 4).cast("int").alias("resid"), cut(18, 3).alias("resname"), *[F.expr(f"try_cast(trim(substring(value, {31 + 8 * i}, 8)) AS DOUBLE)").alias(a) for i, a in enumerate("xyz")], "_no"
+        *folders, cut(22, 1).alias("chain"), cut(23, 4).cast("int").alias("resid"), cut(18, 3).alias("resname"), *[F.expr(f"try_cast(trim(substring(value, {31 + 8 * i}, 8)) AS DOUBLE)").alias(a) for i, a in enumerate("xyz")], "_no"
     )
-    first = best_per(atoms, ["chain", "resid"], F.col("_no")).drop("_no")
+    first = best_per(atoms, [*folders, "chain", "resid"], F.col("_no")).drop("_no")
     bad = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
     return first.withColumn("x", F.when(bad, F.raise_error(F.lit("atom without finite coordinates")).cast("double")).otherwise(F.col("x")))
 

@@ -148,13 +148,14 @@ def source_oracle(scores: DataFrame, target: str, source: str, value: str, sourc
     return table.withColumn("union_best", top).withColumn("winner", winner)
 
 
-def bank_diversity(vectors: DataFrame, bank: Sequence[str], vid: str, vector: str, similar: Column, near: float = 0.95) -> DataFrame:
+def bank_diversity(vectors: DataFrame, bank: Sequence[str], vid: str, vector: str, similar: Column, near: float = 0.95, limit: int = 64) -> DataFrame:
     """Mean pairwise similarity and share of near duplicates of each bank.
 
-    Banks are bounded by construction (a handful of candidates), which is what
-    makes their pairs affordable.  ``similar`` is an expression on a.<vector>, b.<vector>.
+    A bank of more than ``limit`` candidates fails the job, which is what makes its
+    pairs affordable.  ``similar`` is an expression on the columns va and vb.
     """
     bank = list(bank)
+    vectors = order.bounded_groups(vectors, bank, limit)
     a = vectors.select(*bank, F.col(vid).alias("ia"), F.col(vector).alias("va"))
     b = vectors.select(*bank, F.col(vid).alias("ib"), F.col(vector).alias("vb"))
     pairs = a.join(b, bank).where(F.col("ia") < F.col("ib")).select(*bank, similar.alias("_s"))

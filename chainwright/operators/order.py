@@ -203,3 +203,13 @@ def over_range(
     frame = Window.partitionBy(*keys, "_block").orderBy(pos).rangeBetween(low, high)
     computed = [a.over(frame).alias(name) for name, a in aggregates.items()]
     return cut.select(*df.columns, "_block", *computed).where(F.col("_block") == home).drop("_block")
+
+
+def bounded_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """The rows unchanged, unless a key holds more than ``limit`` of them: then the job fails.
+
+    The check is a map-side combined count, so an oversized key is found without being gathered.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    fits = F.when(F.col("_n") > limit, F.raise_error(F.lit(f"a group holds more than {limit} rows")).cast("long")).otherwise(F.col("_n"))
+    return df.join(sizes.select(*keys, fits.alias("_n")), list(keys)).where(F.col("_n") > 0).drop("_n")

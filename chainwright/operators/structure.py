@@ -415,9 +415,7 @@ def fold_families(vectors: DataFrame, bank: Sequence[str], cid: str, vector: str
     A bank with more than ``limit`` candidates fails the job before it is grouped.
     """
     bank = list(bank)
-    sizes = vectors.groupBy(*bank).agg(F.count(F.lit(1)).alias("_n"))
-    fits = F.when(F.col("_n") > limit, F.raise_error(F.lit(f"a bank holds more than {limit} candidates")).cast("long")).otherwise(F.col("_n"))
-    guarded = vectors.join(sizes.select(*bank, fits.alias("_n")), bank).where(F.col("_n") > 0)
+    guarded = order.bounded_groups(vectors, bank, limit)
 
     def families(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(cid)

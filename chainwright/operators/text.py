@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainwright.functions.sequence import kmers
+from chainwright.operators.topk import topn
 from chainwright.session import durable
 
 
@@ -77,10 +78,16 @@ def shared_kmers(queries: DataFrame, library: DataFrame, qid: str, tid: str, seq
 
 
 def kmer_retrieve(queries: DataFrame, library: DataFrame, qid: str, tid: str, seq: str, k: int = 13, most: int = 300) -> DataFrame:
-    """Best ``most`` library entries per query by shared k-mers, then id."""
-    from chainwright.operators.topk import topn
+    """Best ``most`` library entries per query by shared distinct k-mers, then id.
 
-    return topn(shared_kmers(queries, library, qid, tid, seq, k), [qid], [F.desc("shared"), F.col(tid)], most, rank="rank")
+    Library k-mers go straight to the join; only the few that match a query are
+    made distinct.
+    """
+    q = kmer_rows(queries, [qid], seq, k)
+    t = library.select(tid, F.explode(kmers(F.col(seq), k)).alias("kmer"))
+    matched = t.join(q, "kmer").groupBy(qid, tid, "kmer").agg(F.lit(1).alias("_one"))
+    counts = matched.groupBy(qid, tid).agg(F.count(F.lit(1)).alias("shared"))
+    return topn(counts, [qid], [F.desc("shared"), F.col(tid)], most, rank="rank")
 
 
 def near_overlap(targets: DataFrame, corpus: DataFrame, tid: str, cid: str, seq: str, k: int = 13, identity: float = 0.8, coverage: float = 0.0) -> DataFrame:

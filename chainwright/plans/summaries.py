@@ -264,9 +264,9 @@ def _(t):
     return first.join(best, "k")
 
 
-_SUB = """truth AS (SELECT doc_id, c, i FROM (SELECT doc_id, string_split(seq, '') AS c, unnest(range(1, len(string_split(seq, '')) + 1)) AS i FROM seqs WHERE seq <> '')),
- sub AS (SELECT concat(doc_id, '_', CASE WHEN i % 997 = 3 THEN i + 1 ELSE i END) AS "ID", CASE WHEN i % 1009 = 5 THEN '?' ELSE c[i] END AS resname, CASE WHEN i % 1013 = 7 THEN i + 2 ELSE i END AS resid, CASE WHEN i % 991 = 2 THEN NULL ELSE i * 1.0 END AS x FROM truth),
- got AS (SELECT "ID", count(*) AS n, min(resname) AS resname, min(resid) AS resid, bool_or(x IS NULL) AS hole FROM sub GROUP BY 1), want AS (SELECT concat(doc_id, '_', i) AS "ID", c[i] AS want, i AS want_no FROM truth),
+_SUB = """truth AS (SELECT doc_id, unnest(string_split(seq, '')) AS c, unnest(range(1, len(string_split(seq, '')) + 1)) AS i FROM seqs WHERE seq <> ''),
+ sub AS (SELECT concat(doc_id, '_', CASE WHEN i % 997 = 3 THEN i + 1 ELSE i END) AS "ID", CASE WHEN i % 1009 = 5 THEN '?' ELSE c END AS resname, CASE WHEN i % 1013 = 7 THEN i + 2 ELSE i END AS resid, CASE WHEN i % 991 = 2 THEN NULL ELSE i * 1.0 END AS x FROM truth),
+ got AS (SELECT "ID", count(*) AS n, min(resname) AS resname, min(resid) AS resid, bool_or(x IS NULL) AS hole FROM sub GROUP BY 1), want AS (SELECT concat(doc_id, '_', i) AS "ID", c AS want, i AS want_no FROM truth),
  j AS (SELECT coalesce(got."ID", want."ID") AS "ID", n, resname, resid, hole, want, want_no FROM got FULL JOIN want ON got."ID" = want."ID"),
  iss AS (SELECT "ID", 'NULL coordinates' AS issue FROM j WHERE n IS NOT NULL AND hole UNION ALL SELECT "ID", 'duplicate IDs' FROM j WHERE n > 1 UNION ALL SELECT "ID", 'missing IDs' FROM j WHERE n IS NULL
   UNION ALL SELECT "ID", 'extra IDs' FROM j WHERE want IS NULL UNION ALL SELECT "ID", 'residue number' FROM j WHERE n IS NOT NULL AND want IS NOT NULL AND (resid <> want_no OR resid <> CAST(regexp_extract("ID", '_([0-9]+)$', 1) AS BIGINT))

@@ -18,7 +18,7 @@ def items(t):
 
 
 def km_sql(name: str, key: str, source: str, k: int = K) -> str:
-    return f"""{name} AS (SELECT DISTINCT {key}, array_to_string(c[i:i+{k - 1}], '') AS kmer FROM (SELECT {key}, c, unnest(range(1, len(c) - {k - 2})) AS i FROM (SELECT {key}, string_split(seq, '') AS c FROM {source} WHERE length(seq) >= {k})))"""
+    return f"""{name} AS (SELECT DISTINCT {key}, substr(seq, i, {k}) AS kmer FROM (SELECT {key}, seq, unnest(range(1, length(seq) - {k - 2})) AS i FROM {source} WHERE length(seq) >= {k}))"""
 
 
 SHARED = f"""{SEQS}, items AS (SELECT item_id, {norm_sql('text')} AS seq FROM benchmark), {km_sql('kd', 'doc_id', 'seqs')}, {km_sql('kq', 'item_id', 'items')},

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def build_session(app: str = "chainwright", cores: str | int = "*", shuffle_partitions: int | None = None) -> SparkSession:
     """Local session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -29,19 +33,27 @@ def build_session(app: str = "chainwright", cores: str | int = "*", shuffle_part
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that outlives any executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, named by ``spark.checkpoint.dir``.
 
-    The folder is the shared one named by the session (``spark.checkpoint.dir``).
-    Only where neither the session nor the context names one, as in local tests,
-    is a temporary folder used.
+    Where it is unset, a local session gets a folder of its own; any other session is refused,
+    because a machine's own disk is not seen by the other machines.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not re.match(r"local($|\[)", spark.conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "root" not in _local:
+        _local["root"] = Path(tempfile.mkdtemp(prefix="chainwright-")).as_uri()
+    return _local["root"]
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder, which outlives any executor."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chainwright-checkpoint-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -56,5 +68,11 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate files, under the shared folder the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chainwright-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as Parquet into the shared folder and read it again: a cut of the lineage with known sizes."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import pii
+from chainwright.llm import chat, pii
 
-QUERIES = {"op1_pii": pii.op1_pii}
-SQL = {"op1_pii": pii.SQL}
+QUERIES = {"op1_pii": pii.op1_pii, "op3_chat_formatting": chat.op3_chat_formatting}
+SQL = {"op1_pii": pii.SQL, "op3_chat_formatting": chat.SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import chat, pii
+from chainwright.llm import chat, decontaminate, pii
 
-QUERIES = {"op1_pii": pii.op1_pii, "op3_chat_formatting": chat.op3_chat_formatting}
-SQL = {"op1_pii": pii.SQL, "op3_chat_formatting": chat.SQL}
+QUERIES = {"op1_pii": pii.op1_pii, "op2_decontamination": decontaminate.op2_decontamination, "op3_chat_formatting": chat.op3_chat_formatting}
+SQL = {"op1_pii": pii.SQL, "op2_decontamination": decontaminate.SQL, "op3_chat_formatting": chat.SQL}

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from chainwright.llm import chat, decontaminate, pii
+from chainwright.llm import bpe, chat, decontaminate, pii, secrets
 
-QUERIES = {"op1_pii": pii.op1_pii, "op2_decontamination": decontaminate.op2_decontamination, "op3_chat_formatting": chat.op3_chat_formatting}
-SQL = {"op1_pii": pii.SQL, "op2_decontamination": decontaminate.SQL, "op3_chat_formatting": chat.SQL}
+QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_bpe": bpe.op5_bpe,
+}
+SQL = {
+    "op1_pii": pii.SQL,
+    "op2_decontamination": decontaminate.SQL,
+    "op3_chat_formatting": chat.SQL,
+}

@@ -19,16 +19,17 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainwright.llm.batches import append
 from chainwright.llm.common import hex_digest
 
 #: Characters of text in one numpy batch.
@@ -198,61 +199,30 @@ def encode_batch(t: Tables, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def decode_lists(t: Tables, ids: pa.ListArray) -> pa.Array:
     """The tokens of each list joined by spaces, as the file names no decoder."""
-    size = np.array(pa.compute.list_value_length(ids).fill_null(0), np.int64)
+    size = np.array(pc.list_value_length(ids).fill_null(0), np.int64)
     flat = np.array(ids.flatten().fill_null(-1), np.int64)
     good = (flat >= 0) & (flat < len(t.tokens))
     good[good] = t.named[flat[good]]
     end = np.r_[0, np.cumsum(good)][np.r_[0, np.cumsum(size)]]
     words = t.named_tokens().take(pa.array(flat[good]))
-    return pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), words), " ")
-
-
-def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about BATCH_CHARS characters; a longer text is alone."""
-    group = np.cumsum(lengths) // BATCH_CHARS
-    cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(lengths)]
-    yield from ((int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
-
-
-def _append(df: DataFrame, column: str, out: str, kind: T.DataType, work) -> DataFrame:
-    """Add an output column made batch by batch from one column; other columns pass as they are."""
-    columns = [c for c in df.columns if c != out]
-    source = F.col(column).alias("_in")
-    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField(out, kind)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = b.column(b.num_columns - 1)
-            for a, z, made in work(values):
-                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(a, z - a) for i in range(len(columns))], made], [*columns, out])
-
-    return df.select(*columns, source).mapInArrow(run, schema)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), words), " ")
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``: the token ids of the whole text."""
     tables = load(path)
 
-    def work(values: pa.Array):
-        lengths = np.array(pa.compute.binary_length(values).fill_null(0))
-        for a, z in _slices(lengths):
-            flat, at = encode_batch(tables, [x or "" for x in values.slice(a, z - a).to_pylist()])
-            yield a, z, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+    def work(values: pa.Array) -> list[pa.Array]:
+        flat, at = encode_batch(tables, [x or "" for x in values.to_pylist()])
+        return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))]
 
-    return _append(df, text, ids, T.ArrayType(T.IntegerType()), work)
+    return append(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], work, BATCH_CHARS)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``: the tokens of the ids, special tokens included."""
     tables = load(path)
-
-    def work(values: pa.Array):
-        values = values.cast(pa.list_(pa.int32()))
-        lengths = np.array(pa.compute.list_value_length(values).fill_null(0))
-        for a, z in _slices(4 * lengths):
-            yield a, z, decode_lists(tables, values.slice(a, z - a))
-
-    return _append(df, ids, text, T.StringType(), work)
+    return append(df, ids, [T.StructField(text, T.StringType())], lambda values: [decode_lists(tables, values.cast(pa.list_(pa.int32())))], BATCH_CHARS)
 
 
 def op5_bpe(spark, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import bpe, chat, decontaminate, pii, secrets
+from chainwright.llm import bpe, chat, decontaminate, language, pii, secrets
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_secrets": secrets.op4_secrets,
     "op5_bpe": bpe.op5_bpe,
+    "op6_language_id": language.op6_language_id,
 }
 SQL = {
     "op1_pii": pii.SQL,

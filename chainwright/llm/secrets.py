@@ -17,18 +17,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainwright.llm.batches import append
 from chainwright.llm.common import hex_digest
 
 KINDS = ("assign", "access", "hex", "literal")
 BASE = 3
 KEEP = 0.6
+#: Characters of text in one batch.
+BATCH_CHARS = 4_000_000
 MIN_LITERAL = 6
 SPAN = T.ArrayType(
     T.StructType(
@@ -126,16 +128,8 @@ def scan(text: str | None) -> list[dict]:
 
 def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """Add ``out``: spans in code points as array of (start, order, end, kind, name, score)."""
-    columns = [c for c in df.columns if c != out]
-    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField(out, SPAN)])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("order", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("score", pa.float64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = pa.array([scan(x.as_py()) for x in b.column(b.num_columns - 1)], kind)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(columns))], made], [*columns, out])
-
-    return df.select(*columns, F.col(text).alias("_in")).mapInArrow(run, schema)
+    return append(df, text, [T.StructField(out, SPAN)], lambda values: [pa.array([scan(x) for x in values.to_pylist()], kind)], BATCH_CHARS)
 
 
 def digest(found: DataFrame, key: str = "doc_id", secrets: str = "secrets") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import bpe, chat, decontaminate, language, pii, secrets
+from chainwright.llm import bpe, chat, decontaminate, language, pii, quality, secrets
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": language.op6_language_id,
+    "op8_quality": quality.op8_quality,
 }
 SQL = {
     "op1_pii": pii.SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import bpe, chat, decontaminate, language, pii, quality, secrets
+from chainwright.llm import bpe, chat, decontaminate, language, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,9 +12,11 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": language.op6_language_id,
     "op8_quality": quality.op8_quality,
+    "op9_warc": warc.op9_warc,
 }
 SQL = {
     "op1_pii": pii.SQL,
     "op2_decontamination": decontaminate.SQL,
     "op3_chat_formatting": chat.SQL,
+    "op9_warc": warc.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import bpe, chat, decontaminate, language, pii, quality, secrets, warc
+from chainwright.llm import bpe, chat, decontaminate, language, nearest, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": language.op6_language_id,
+    "op7_nearest": nearest.op7_nearest,
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import bpe, chat, decontaminate, language, nearest, pii, quality, secrets, warc
+from chainwright.llm import bpe, chat, decontaminate, jaccard, language, nearest, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,10 +14,12 @@ QUERIES = {
     "op7_nearest": nearest.op7_nearest,
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 SQL = {
     "op1_pii": pii.SQL,
     "op2_decontamination": decontaminate.SQL,
     "op3_chat_formatting": chat.SQL,
     "op9_warc": warc.SQL,
+    "op10_jaccard_join": jaccard.SQL,
 }

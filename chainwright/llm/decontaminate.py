@@ -83,29 +83,43 @@ def prefixes(docs: DataFrame, items: DataFrame, broadcast_keys: int) -> tuple[Da
     return ranked.where(F.col("_r.n") > 0).select("tokens", "ids", F.col("_r.o").alias("_off"), F.col("_r.h").alias("_h")), widths, small
 
 
-def find_overlap(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Per document row: ``n_words``, ``hits`` (array of start and end in words) and ``items`` (sorted ids)."""
-    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).withColumn("_mark", F.md5(F.coalesce("text", F.lit(""))))
+def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Key, text and a digest of the text: together they name a row up to repeated rows."""
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).withColumn("_mark", F.md5(F.coalesce("text", F.lit(""))))
+
+
+def overlaps(docs: DataFrame, items: DataFrame, broadcast_keys: int) -> DataFrame:
+    """``_k``, ``_m``, ``hits`` and ``items`` of the marked documents that hold a window."""
     cut, widths, small = prefixes(docs, items.select("item_id", "text"), broadcast_keys)
-    id_type = dict(items.dtypes)["item_id"]
-    base = docs.select("_key", "_mark", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")), F.lit(0))).cast("long").alias("n_words"))
-    none_hit, none_item = F.array().cast("array<struct<s:int,e:int>>"), F.array().cast(f"array<{id_type}>")
-    if not widths:
-        return base.select(F.col("_key").alias(key), "n_words", none_hit.alias("hits"), none_item.alias("items"))
-    tokens = _tokens(docs, widths, "_key", "_mark")
+    cut = cut.withColumnRenamed("_h", "_hw")
+    tokens = _tokens(docs, widths or [SHINGLE], "_key", "_mark")
     begin = F.col("_at") - F.col("_off")
     fits = (begin >= 0) & (begin + F.size("tokens") <= F.size("_w"))
     same = F.slice("_w", begin + 1, F.size("tokens")) == F.col("tokens")
-    cut = cut.withColumnRenamed("_h", "_hw")
     met = tokens.join(F.broadcast(cut) if small else cut, (F.col("_h") == F.col("_hw")) & F.when(fits, same).otherwise(False))
     per_doc = met.groupBy("_key", "_mark").agg(
         F.array_sort(F.collect_set(F.struct(begin.alias("s"), (begin + F.size("tokens")).alias("e")))).alias("hits"), F.collect_set("ids").alias("_sets")
     )
-    per_doc = per_doc.select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), "hits", F.array_sort(F.array_distinct(F.flatten("_sets"))).alias("items"))
+    return per_doc.select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), "hits", F.array_sort(F.array_distinct(F.flatten("_sets"))).alias("items"))
+
+
+def find_overlap(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Per document row: ``n_words``, ``hits`` (array of start and end in words) and ``items`` (sorted ids)."""
+    docs = marked(docs, key, text)
+    per_doc = overlaps(docs, items, broadcast_keys)
+    counted = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")), F.lit(0))
+    base = docs.select("_key", "_mark", F.size(counted).cast("long").alias("n_words"))
+    none_hit, none_item = F.array().cast("array<struct<s:int,e:int>>"), F.array().cast(per_doc.schema["items"].dataType)
     both = base.join(per_doc, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")), "left")
     return both.select(F.col("_key").alias(key), "n_words", F.coalesce("hits", none_hit).alias("hits"), F.coalesce("items", none_item).alias("items"))
 
 
+def without_overlap(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """The documents that hold no window, all columns as they are."""
+    held = overlaps(marked(docs, key, text), items, broadcast_keys).select("_k", "_m")
+    return docs.join(held, docs[key].eqNullSafe(held["_k"]) & (F.md5(F.coalesce(docs[text], F.lit(""))) == held["_m"]), "left_anti")
+
+
 def covered(hits: Column) -> Column:
     """Words under the union of sorted (start, end) spans."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))

@@ -228,10 +228,11 @@ def _peeled(sets: DataFrame) -> DataFrame:
     return again.select("c", "n", "left", F.lit(1).alias("m"), F.explode("_p.t").alias("t"))
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``n_shingles`` and ``component_id``, the smallest id that is reachable by links."""
+def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``_id``, ``_mark`` (digest of the text), ``_n``, ``_g`` (key of the component, null for an empty set) and ``component`` of every row."""
     counts = frequencies(docs, text)
-    made = stash(sketch(docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_text", counts).drop("_text"), "sketches")
+    rows = docs.select(F.col(key).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_mark"), F.col(text).alias("_text"))
+    made = stash(sketch(rows, "_text", counts).drop("_text"), "sketches")
     classes = stash(
         made.where("_c IS NOT NULL").groupBy(F.col("_c").alias("c"))
         .agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.first("_matches").alias("m"), F.first("_prefix").alias("_prefix")), "classes"
@@ -263,16 +264,37 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         waiting = stash(_open(_buckets(_peeled(sets)), labels), "waiting")
         room = True
     members = classes.select("c", "rep")
-    if labels is not None:
+    if labels is None:
+        members = members.select("c", F.col("c").alias("g"), F.col("rep").alias("component"))
+    else:
         tagged = members.join(labels, "c").select("c", "label", "rep")
         least = tagged.groupBy("label").agg(F.min("rep").alias("component"))
-        members = members.join(tagged.join(least, "label").select("c", "component"), "c", "left").select("c", F.coalesce("component", "rep").alias("component"))
-    else:
-        members = members.select("c", F.col("rep").alias("component"))
-    joined = made.select("_id", "_n", "_c").join(members, F.col("_c") == F.col("c"), "left")
-    return joined.select(
-        F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.when(F.col("_c").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component_id")
-    )
+        better = tagged.join(least, "label").select("c", "label", "component")
+        members = members.join(better, "c", "left").select("c", F.coalesce("label", "c").alias("g"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
+    joined = made.select("_id", "_mark", "_n", "_c").join(members, F.col("_c") == F.col("c"), "left")
+    return joined.select("_id", "_mark", "_n", F.col("g").alias("_g"), F.when(F.col("_c").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"))
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: its id, ``n_shingles`` and ``component_id``, the smallest id that is reachable by links."""
+    return linked(docs, key, text).select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, the one of the smallest id (then of the smallest digest of its text); rows with empty sets all stay.
+
+    Only the keys of the other rows meet the documents, so texts are shuffled only if those are too many to broadcast.
+    """
+    rows = stash(linked(docs, key, text).where("_g IS NOT NULL").select("_id", "_mark", "_g"), "linked")
+    name = F.struct(F.col("_id").isNull().alias("no"), "_id", "_mark")
+    kept = rows.groupBy("_g").agg(F.min(name).alias("_b"))
+    counted = rows.groupBy("_g", "_id", "_mark").agg(F.count(F.lit(1)).alias("_k"))
+    both = stash(counted.join(kept, "_g").select("_id", "_mark", "_k", name.eqNullSafe(F.col("_b")).alias("_keep")).where("NOT _keep OR _k > 1"), "fates")
+    fate = _near(both.select(F.col("_id").alias("_fi"), F.col("_mark").alias("_fm"), "_keep"))
+    here = lambda d: d[key].eqNullSafe(fate["_fi"]) & (F.md5(F.coalesce(d[text], F.lit(""))) == fate["_fm"])
+    untouched = docs.join(fate, here(docs), "left_anti")
+    again = docs.join(fate.where("_keep"), here(docs), "left_semi").withColumn("_fm", F.md5(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([key, "_fm"]).drop("_fm")
+    return untouched.unionByName(again)
 
 
 def op10_jaccard_join(spark, folder: str) -> DataFrame:

@@ -1 +1,8 @@
 """Operators of a training-data pipeline; each module states its method, its rules for odd input and its limits."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks are sent whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -40,3 +40,11 @@ def append(df: DataFrame, column: str, fields: list[T.StructField], work: Callab
                 yield pa.RecordBatch.from_arrays([*[b.column(i).slice(a, z - a) for i in range(len(kept))], *work(values.slice(a, z - a))], [*kept, *names])
 
     return df.select(*kept, F.col(column).alias("_in")).mapInArrow(run, schema)
+
+
+def by_character(flat: np.ndarray, kind: Callable[[str], int]) -> np.ndarray:
+    """A small number for each of an array of code points, asked for once per distinct character."""
+    used = np.flatnonzero(np.bincount(flat))
+    table = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.uint8)
+    table[used] = [kind(chr(c)) for c in used.tolist()]
+    return table[flat]

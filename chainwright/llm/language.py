@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainwright.llm.batches import append, sizes_of, slices
+from chainwright.llm.batches import append, by_character, sizes_of, slices
 
 SLOTS = 1 << 15
 MAX_LANGUAGES = 256
@@ -35,19 +35,11 @@ SMOOTHING = 0.5
 BATCH_CHARS = 1_000_000
 UNKNOWN = "und"
 
-_alpha: list[np.ndarray] = []
-
-
-def _letters() -> np.ndarray:
-    if not _alpha:
-        _alpha.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _alpha[0]
-
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every letter of all texts: its text, whether a word begins with it, and the slot of the trigram around it."""
     flat = np.frombuffer("".join(["\0" + x.lower() + "\0" for x in texts]).encode("utf-32-le"), np.uint32)
-    code = np.where(_letters()[flat], flat, 0)
+    code = np.where(by_character(flat, str.isalpha), flat, 0)
     lengths = np.fromiter((len(x.lower()) + 2 for x in texts), np.int64, len(texts))
     at = np.flatnonzero(code)
     mixed = code[at - 1] * np.uint32(0x9E3779B1) + code[at] * np.uint32(0x85EBCA77) + code[at + 1] * np.uint32(0xC2B2AE3D)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainwright.llm.batches import append
+from chainwright.llm.batches import append, by_character
 from chainwright.llm.language import held_out
 
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 500
@@ -32,24 +32,16 @@ STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 OWN = 13
 WIDTH = 3 * OWN + 3
 
-_class: list[np.ndarray] = []
 
-
-def _classes() -> np.ndarray:
-    """Class of each character: 0 other, 1 lower, 2 upper, 3 other letter, 4 digit, 5 white space, 6 sentence mark, 7 symbol."""
-    if not _class:
-
-        def kind(c: str) -> int:
-            if c.isalpha():
-                return 1 if c.islower() else 2 if c.isupper() else 3
-            if c.isdigit():
-                return 4
-            if c.isspace():
-                return 5
-            return 6 if c in ".,;:?'\"()-" else 7
-
-        _class.append(np.fromiter((kind(chr(i)) for i in range(0x110000)), np.uint8, 0x110000))
-    return _class[0]
+def _kind(c: str) -> int:
+    """0 other, 1 lower, 2 upper, 3 other letter, 4 digit, 5 white space, 6 sentence mark, 7 symbol."""
+    if c.isalpha():
+        return 1 if c.islower() else 2 if c.isupper() else 3
+    if c.isdigit():
+        return 4
+    if c.isspace():
+        return 5
+    return 6 if c in ".,;:?'\"()-" else 7
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +51,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     ends = np.flatnonzero(flat == 10)
     begin = np.r_[0, ends[:-1] + 1]
     lines = np.fromiter((x.count("\n") + 1 for x in texts), np.int64, len(texts))
-    kind = _classes()[flat]
+    kind = by_character(flat, _kind)
     length = (ends - begin + 1).astype(np.float64)
     at = lambda mask: np.add.reduceat(mask.astype(np.float64), begin)
     letters = at((kind >= 1) & (kind <= 3))

@@ -6,12 +6,13 @@ own l by the estimated cost of its candidates; a pair must share the smaller of
 
 1. Frequencies: each task adds up shingles in ``SLOTS`` counters; their sum orders tokens by frequency class and then by hash.
 2. Equal sets form one class with one representative; only classes go on.
-3. Prefix tokens that two classes hold are buckets. The members of a bucket are compared with its pivot, the member
-   with the most companions, not with each other; pivots that are compared are done. Members that are in one
-   component need no comparison. While a bucket spans components, a next round takes ``MORE`` times as many pivots of it.
-4. From the second round on, the sets that are still open are counted exactly: a token that no other open set holds
-   cannot be shared, so a set with too many of them is done, and the prefixes of the others are chosen anew among the shared
-   tokens. That ends groups of copies that are similar but not linked, without listing their pairs.
+3. Prefix tokens that two classes hold are buckets. First, the members of a bucket are compared with its pivot, the member
+   with the most companions, not with each other. Members that are then in one component need no comparison. Of the buckets
+   that still span components, those of up to ``HOT`` classes are compared pairwise.
+4. The sets in larger open buckets are counted exactly: a token that no other of these sets holds cannot be shared, so a set
+   with too many of them is done, and the others choose their prefixes anew among the shared tokens. That ends groups of copies
+   that are similar but not linked, without listing their pairs. What is left is compared with ``HOT`` pivots of each bucket
+   at a time, until no bucket spans components.
 5. Links are verified on whole sets and components are found by passing on the smallest label.
 
 Sets are compared by 64-bit hashes of shingles; classes have 128-bit keys. Nothing that grows with the data is collected; tables
@@ -40,7 +41,8 @@ WIDTH = 3
 PERCENT = 90
 SLOTS = 1 << 16
 LONGEST = 8
-MORE = 64
+#: Buckets of up to so many classes are compared pairwise in the second step, larger ones go by pivots.
+HOT = 64
 #: Mean companions of a prefix token from which a longer prefix is taken.
 COSTLY = 16.0
 BROADCAST_ROWS = 1_000_000
@@ -145,15 +147,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _buckets(postings: DataFrame) -> DataFrame:
-    """Postings (``t``, ``c``, ``n``, ``m``) of tokens that at least two classes hold, with the number ``k`` of holders."""
+    """Postings of the tokens that at least two classes hold, with the number ``k`` of holders.
+
+    A posting has the token ``t``, the class ``c``, the size ``n`` of its set, the matches ``m`` it asks for, the place ``i`` of the token among
+    the ``r`` tokens of the class that are in order, and the length ``p`` of its prefix.
+    """
     held = stash(postings.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "tokens")
     return stash(postings.join(_near(held), "t"), "buckets")
 
 
-def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets that span components, with the component ``g`` of each posting."""
-    if labels is None:
-        return buckets.withColumn("g", F.col("c"))
     tagged = buckets.join(labels, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label")
     span = tagged.groupBy("t").agg((F.min("g") != F.max("g")).alias("_o"), F.count(F.lit(1)).alias("_k")).where("_o")
     return tagged.drop("k").join(_near(stash(span.select("t", F.col("_k").alias("k")), "open")), "t")
@@ -167,40 +171,58 @@ def _pivots(buckets: DataFrame, many: int) -> DataFrame:
     return stash(ranked.withColumn("_p", place).where(F.col("_p") <= many).select("c").distinct(), "pivots")
 
 
-def _candidates(buckets: DataFrame, pivots: DataFrame, room: bool) -> DataFrame:
-    """Pairs (``a`` pivot, ``b``) of different components that share enough prefix tokens and may link by their sizes."""
-    mine = buckets.join(_near(pivots), "c", "left_semi").select("t", *[F.col(x).alias(f"a_{x}") for x in buckets.columns if x != "t"])
+def _candidates(buckets: DataFrame, pivots: DataFrame | None) -> DataFrame:
+    """Pairs (``a`` pivot, ``b``) of different components that may link; without pivots every member is one.
+
+    The shared tokens of two prefixes are counted. Up to the end of the prefix that ends first they are all that the two share, and
+    behind it they share at most what the shorter rest holds; together that must reach what their sizes ask for.
+    """
+    mine = buckets if pivots is None else buckets.join(_near(pivots), "c", "left_semi")
+    mine = mine.select("t", *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "m", "i", "r", "p", "g")])
     fits = _may(F.col("a_n"), F.col("n")) & (F.col("a_g") != F.col("g"))
-    if room:
-        # what both can share at most must reach what their sizes ask for
-        fits &= (100 + PERCENT) * F.least("a_left", "left") >= PERCENT * (F.col("a_n") + F.col("n"))
+    if pivots is None:
+        fits &= F.col("a_c") < F.col("c")
+    fits &= (100 + PERCENT) * F.least("a_r", "r") >= PERCENT * (F.col("a_n") + F.col("n"))
     met = buckets.join(mine, [buckets["t"] == mine["t"], fits])
-    return (
-        met.groupBy(F.col("a_c").alias("a"), F.col("c").alias("b"))
-        .agg(F.count(F.lit(1)).alias("_s"), F.first(F.least("a_m", "m")).alias("_m"))
-        .where("_s >= _m").select("a", "b")
-    )
+    one = lambda x: F.first(x).alias(x)
+    seen = met.groupBy(F.col("a_c").alias("a"), F.col("c").alias("b")).agg(
+        F.count(F.lit(1)).alias("s"), F.max("a_i").alias("a_i"), F.max("i").alias("i"), *[one(x) for x in ("a_n", "n", "a_m", "m", "a_r", "r", "a_p", "p")]
+    )
+    rest = F.greatest(F.least(F.expr("a_r - a_p"), F.expr("r - i - 1")), F.least(F.expr("a_r - a_i - 1"), F.expr("r - p")))
+    enough = (100 + PERCENT) * (F.col("s") + rest) >= PERCENT * (F.col("a_n") + F.col("n"))
+    return seen.where(enough & (F.col("s") >= F.least("a_m", "m"))).select("a", "b")
 
 
-def _sets(docs: DataFrame, key: str, text: str, reps: DataFrame) -> DataFrame:
-    """``c``, ``n`` and ``s``, the whole set, of the classes in ``reps`` (``c``, ``rep``); recomputed from one text each."""
-    ids = stash(reps.select(F.col("rep").alias("_rep"), F.col("c").alias("_want")), "involved")
+def _with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (``rep``, ``c``, more) with ``n`` and ``s``, the whole set of the class ``c``, made anew from a text.
+
+    The wanted rows meet the documents where they are read, so texts are not shuffled while they can be broadcast.
+    """
+    wanted = stash(wanted, "wanted")
+    kept = [x for x in wanted.columns if x != "rep"]
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    rows = rows.join(_near(ids), F.col("_id").eqNullSafe(F.col("_rep"))).select("_want", "_text")
+    rows = rows.join(_near(wanted), F.col("_id").eqNullSafe(F.col("rep"))).select(*kept, "_text")
 
     def work(values: pa.Array) -> list[pa.Array]:
         hashes, at = shingle_sets([x or "" for x in values.to_pylist()], WIDTH)
         return [_keys(hashes, at), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))]
 
-    made = append(rows, "_text", [T.StructField("c", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))], work, BATCH_CHARS)
-    return stash(made.where(F.col("c") == F.col("_want")).select("c", F.size("s").cast("long").alias("n"), "s").dropDuplicates(["c"]), "sets")
+    made = append(rows, "_text", [T.StructField("_of", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))], work, BATCH_CHARS)
+    return made.where(F.col("_of") == F.col("c")).select(*kept, F.size("s").cast("long").alias("n"), "s")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets link."""
-    left, right = (sets.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-    both = pairs.join(right, "b").join(left, "a")
-    return both.where(_links(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("s_a", "s_b")))).select("a", "b")
+def _sets(docs: DataFrame, key: str, text: str, reps: DataFrame) -> DataFrame:
+    """``c``, ``n`` and ``s`` of the classes in ``reps``."""
+    made = stash(_with_sets(docs, key, text, reps.select("rep", "c")), "sets")
+    # only repeated rows of one id give a class twice
+    return made if made.count() == made.select("c").distinct().count() else stash(made.dropDuplicates(["c"]), "sets")
+
+
+def _linking(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) whose whole sets link, from (``a``, ``c``, ``n``, ``s``) and (``c``, ``n``, ``s``)."""
+    left = pivots.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    both = members.join(left, "a")
+    return both.where(_links(F.col("n_a"), F.col("n"), F.size(F.array_intersect("s_a", "s")))).select("a", F.col("c").alias("b")).distinct()
 
 
 def _peeled(sets: DataFrame) -> DataFrame:
@@ -225,7 +247,7 @@ def _peeled(sets: DataFrame) -> DataFrame:
     again = shared.join(now.select("c", "left"), "c").groupBy("c", "n", "left").agg(ordered.alias("_o"))
     missing = F.col("left") - F.ceil(F.col("n") * PERCENT / F.lit(100)).cast("long")
     again = again.withColumn("_p", F.slice("_o", 1, (missing + 1).cast("int")))
-    return again.select("c", "n", "left", F.lit(1).alias("m"), F.explode("_p.t").alias("t"))
+    return again.select("c", "n", F.lit(1).alias("m"), F.col("left").alias("r"), F.size("_p").alias("p"), F.posexplode("_p.t").alias("i", "t"))
 
 
 def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -238,39 +260,36 @@ def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
         .agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.first("_matches").alias("m"), F.first("_prefix").alias("_prefix")), "classes"
     )
     reps = classes.select("c", "rep")
-    buckets = _buckets(classes.select(F.explode("_prefix").alias("t"), "c", "n", "m"))
-    links, labels, sets, many, room = None, None, None, 1, False
+    buckets = _buckets(classes.select(F.posexplode("_prefix").alias("i", "t"), "c", "n", "m", F.col("n").alias("r"), F.size("_prefix").alias("p")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.join(reps.withColumnRenamed("c", "b"), "b").select("rep", F.col("b").alias("c"), "a")
+        heads = reps.join(pairs.select(F.col("a").alias("c")).distinct(), "c").select("rep", "c")
+        return stash(_linking(_with_sets(docs, key, text, asked), _with_sets(docs, key, text, heads)), "links")
+
     waiting = buckets.withColumn("g", F.col("c"))
+    pivots = _pivots(waiting, 1)
+    links = verified(stash(_candidates(waiting, pivots), "pairs"))
+    labels = components(links)
+    waiting = stash(_open(buckets.join(_near(pivots), "c", "left_anti"), labels), "waiting")
+    links = links.union(verified(stash(_candidates(waiting.where(F.col("k") <= HOT), None), "pairs")))
+    labels = components(links)
+    waiting = stash(_open(waiting.where(F.col("k") > HOT).drop("g"), labels), "waiting")
+    sets = None
     while not waiting.isEmpty():
-        pivots = _pivots(waiting, many)
-        pairs = stash(_candidates(waiting, pivots, room), "pairs")
-        if sets is None:
-            involved = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-            found = stash(_verified(pairs, _sets(docs, key, text, reps.join(involved, "c", "left_semi"))), "links")
-        else:
-            found = stash(_verified(pairs, sets), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        rest = _open(waiting.drop("g").join(pivots, "c", "left_anti"), labels)
-        waiting = stash(rest, "waiting")
-        many *= MORE
-        if waiting.isEmpty():
-            break
-        if sets is None:
-            involved = waiting.select("c").distinct()
-            sets = _sets(docs, key, text, reps.join(involved, "c", "left_semi"))
-        else:
-            sets = sets.join(waiting.select("c").distinct(), "c", "left_semi")
+        still = waiting.select("c").distinct()
+        sets = _sets(docs, key, text, reps.join(still, "c", "left_semi")) if sets is None else stash(sets.join(still, "c", "left_semi"), "sets")
         waiting = stash(_open(_buckets(_peeled(sets)), labels), "waiting")
-        room = True
-    members = classes.select("c", "rep")
-    if labels is None:
-        members = members.select("c", F.col("c").alias("g"), F.col("rep").alias("component"))
-    else:
-        tagged = members.join(labels, "c").select("c", "label", "rep")
-        least = tagged.groupBy("label").agg(F.min("rep").alias("component"))
-        better = tagged.join(least, "label").select("c", "label", "component")
-        members = members.join(better, "c", "left").select("c", F.coalesce("label", "c").alias("g"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
+        pivots = _pivots(waiting, HOT)
+        pairs = stash(_candidates(waiting, pivots), "pairs")
+        asked = sets.join(pairs.select("a", F.col("b").alias("c")), "c")
+        links = links.union(stash(_linking(asked, sets.join(pairs.select(F.col("a").alias("c")).distinct(), "c", "left_semi")), "links"))
+        labels = components(links)
+        waiting = stash(_open(waiting.drop("g").join(_near(pivots), "c", "left_anti"), labels), "waiting")
+    tagged = classes.join(labels, "c").select("c", "label", "rep")
+    least = tagged.groupBy("label").agg(F.min("rep").alias("component"))
+    better = tagged.join(least, "label").select("c", "label", "component")
+    members = classes.join(better, "c", "left").select("c", F.coalesce("label", "c").alias("g"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
     joined = made.select("_id", "_mark", "_n", "_c").join(members, F.col("_c") == F.col("c"), "left")
     return joined.select("_id", "_mark", "_n", F.col("g").alias("_g"), F.when(F.col("_c").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"))
 

@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Writing: digests of the payloads are counted map-side to find equal payloads; the pages are range-sorted by id; each task
+Writing: digests of the payloads are counted map-side to find equal payloads, and only payloads are shuffled, once: the pages are range-sorted by id; each task
 streams its range, so a task holds one record at a time, and starts a new file when the compressed size is
 reached. Headers, record ids and digests come from the row alone and every record is one gzip member without a time stamp, so a
 repeated task writes the same bytes. A file is written under a name of its attempt and then renamed to its
@@ -28,11 +28,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainwright.session import scratch
+from chainwright.session import scratch, stash
 
 #: Payloads from this size on are written once.
 REVISIT_BYTES = 100
 FILE_BYTES = 64 << 20
+#: Digests of payloads held more than once (about 100 bytes each) are broadcast up to so many.
+BROADCAST_ROWS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, shard int, part int, records long, bytes long, sha256 string"
@@ -122,6 +124,9 @@ def write_warc(pages: DataFrame, root: str, key: str = "page_id", url: str = "ur
         rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND first IS NOT NULL").select(F.col("sha").alias("_s"), "first")
     )
+    firsts = stash(firsts, "firsts")
+    if firsts.count() <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
     whole = rows.join(firsts, F.col("sha") == F.col("_s"), "left").select("page_id", "url", "payload", "sha", "first")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = whole.repartitionByRange(parts, "page_id", "sha").sortWithinPartitions("page_id", "sha", "url")

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -30,16 +29,20 @@ def sizes_of(values: pa.Array) -> np.ndarray:
 def append(df: DataFrame, column: str, fields: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]], limit: int) -> DataFrame:
     """Add output columns made from one column. An output column replaces an input column of its name."""
     names = [f.name for f in fields]
-    kept = [c for c in df.columns if c not in names]
-    schema = T.StructType([*[df.schema[c] for c in kept], *fields])
+    kept = [f for f in df.schema.fields if f.name not in names]
+    n = len(kept)
+    # work names, so that no column of the caller clashes
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*kept, *fields])])
+    given = lambda name: df["`" + name.replace("`", "``") + "`"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(b.num_columns - 1)
+            values = b.column(n)
             for a, z in slices(sizes_of(values), limit):
-                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(a, z - a) for i in range(len(kept))], *work(values.slice(a, z - a))], [*kept, *names])
+                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(a, z - a) for i in range(n)], *work(values.slice(a, z - a))], schema.names)
 
-    return df.select(*kept, F.col(column).alias("_in")).mapInArrow(run, schema)
+    source = df.select(*[given(f.name).alias(f"c{i}") for i, f in enumerate(kept)], given(column).alias(f"c{n}"))
+    return source.mapInArrow(run, schema).toDF(*[f.name for f in kept], *names)
 
 
 def by_character(flat: np.ndarray, kind: Callable[[str], int]) -> np.ndarray:

@@ -92,13 +92,23 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_keys: int) -> DataFram
     """``_k``, ``_m``, ``hits`` and ``items`` of the marked documents that hold a window."""
     cut, widths, small = prefixes(docs, items.select("item_id", "text"), broadcast_keys)
     cut = cut.withColumnRenamed("_h", "_hw")
+    begin, length = F.col("_at") - F.col("_off"), F.size("tokens")
     tokens = _tokens(docs, widths or [SHINGLE], "_key", "_mark")
-    begin = F.col("_at") - F.col("_off")
-    fits = (begin >= 0) & (begin + F.size("tokens") <= F.size("_w"))
-    same = F.slice("_w", begin + 1, F.size("tokens")) == F.col("tokens")
-    met = tokens.join(F.broadcast(cut) if small else cut, (F.col("_h") == F.col("_hw")) & F.when(fits, same).otherwise(False))
+    if small:
+        same = F.slice("_w", begin + 1, length) == F.col("tokens")
+        fits = F.when((begin >= 0) & (begin + length <= F.size("_w")), same).otherwise(False)
+        met = tokens.join(F.broadcast(cut), (F.col("_h") == F.col("_hw")) & fits).select("_key", "_mark", begin.alias("s"), (begin + length).alias("e"), "ids")
+    else:
+        # shuffled shingles carry positions only; the words of a document meet its candidates once
+        held = tokens.select("_key", "_mark", "_at", "_h", F.size("_w").alias("_n"))
+        found = held.join(cut, (F.col("_h") == F.col("_hw")) & (begin >= 0) & (begin + length <= F.col("_n")))
+        per = found.groupBy(F.col("_key").alias("_ck"), F.col("_mark").alias("_cm")).agg(F.collect_set(F.struct(begin.alias("s"), "tokens", "ids")).alias("_c"))
+        both = per.join(docs.dropDuplicates(["_key", "_mark"]), F.col("_key").eqNullSafe(F.col("_ck")) & (F.col("_mark") == F.col("_cm")))
+        both = both.select("_key", "_mark", words(F.col("text")).alias("_w"), "_c")
+        sure = F.filter("_c", lambda c: F.slice("_w", c["s"] + 1, F.size(c["tokens"])) == c["tokens"])
+        met = both.select("_key", "_mark", F.explode(sure).alias("_c")).select("_key", "_mark", F.col("_c.s").alias("s"), (F.col("_c.s") + F.size("_c.tokens")).alias("e"), "_c.ids")
     per_doc = met.groupBy("_key", "_mark").agg(
-        F.array_sort(F.collect_set(F.struct(begin.alias("s"), (begin + F.size("tokens")).alias("e")))).alias("hits"), F.collect_set("ids").alias("_sets")
+        F.array_sort(F.collect_set(F.struct("s", "e"))).alias("hits"), F.collect_set("ids").alias("_sets")
     )
     return per_doc.select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), "hits", F.array_sort(F.array_distinct(F.flatten("_sets"))).alias("items"))
 

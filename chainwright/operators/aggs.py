@@ -61,7 +61,7 @@ def describe_cohort(df: DataFrame, keys: Sequence[str], length: str, date: str,
         F.count_distinct(family).alias("families"),
     )
     median = order.percentiles(df, keys, length, {"median_length": 0.5}).drop("n")
-    return plain.join(median, list(keys))
+    return order.join_on(plain, median, list(keys), "left")
 
 
 def profile(df: DataFrame, target: str, length: str) -> DataFrame:

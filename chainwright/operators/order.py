@@ -3,13 +3,14 @@
 A plain ``Window.partitionBy(key)`` sends all rows of a key to one task, so a key
 that holds a third of the table becomes the job.  The helpers here split every
 key into ordered buckets: the work inside a bucket is a small window, and only
-one summary row per bucket takes part in the per-key step.  Keys must not be
-NULL.
+one summary row per bucket takes part in the per-key step.  A NULL key is a
+key like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,13 @@ def _window(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which NULL equals NULL; the keys appear once, as the left side has them."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(other, met, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def order_bucket(value: Column, resolution: int = 256) -> Column:
     """Order-preserving bucket number of a numeric value.
 
@@ -55,7 +63,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bucket: Column |
         (F.max("_high").over(_window(keys)) - F.min("_low").over(_window(keys))).alias("span"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counted.join(prefix, [*keys, "_bucket"]).select(
+    return join_on(counted, prefix, [*keys, "_bucket"]).select(
         *keys,
         value,
         "cnt",
@@ -87,7 +95,7 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str)
     ranks = value_ranks(df, keys, value).select(
         *keys, value, rank.alias(name), F.col("n").alias(f"{name}_n"), F.col("span").alias(f"{name}_span")
     )
-    return df.join(ranks, [*keys, value], "left")
+    return join_on(df, ranks, [*keys, value], "left")
 
 
 def positions(
@@ -109,7 +117,7 @@ def positions(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        tagged.join(prefix, [*keys, "_bucket"])
+        join_on(tagged, prefix, [*keys, "_bucket"])
         .withColumn(name, (F.col("_ahead") + F.row_number().over(inside) - 1).cast("long"))
         .drop("_bucket", "_ahead")
     )
@@ -121,7 +129,7 @@ def attach(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame
     Pre-aggregated (map-side combine) and joined, instead of a whole-key window;
     the adaptive planner broadcasts the result or splits a skewed key by measured size.
     """
-    return df.join(df.groupBy(*keys).agg(*aggregates), list(keys))
+    return join_on(df, df.groupBy(*keys).agg(*aggregates), list(keys))
 
 
 def at_offsets(
@@ -180,7 +188,7 @@ def nearest(
     up_in = inside.orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     down_in = inside.orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        cut.join(carry, [*keys, "_block"])
+        join_on(cut, carry, [*keys, "_block"])
         .withColumn(before, F.coalesce(F.last("_item", True).over(up_in), F.col("_carry_up")))
         .withColumn(after, F.coalesce(F.last("_item", True).over(down_in), F.col("_carry_down")))
         .drop("_block", "_item", "_carry_up", "_carry_down")
@@ -212,4 +220,4 @@ def bounded_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     fits = F.when(F.col("_n") > limit, F.raise_error(F.lit(f"a group holds more than {limit} rows")).cast("long")).otherwise(F.col("_n"))
-    return df.join(sizes.select(*keys, fits.alias("_n")), list(keys)).where(F.col("_n") > 0).drop("_n")
+    return join_on(df, sizes.select(*keys, fits.alias("_n")), list(keys)).where(F.col("_n") > 0).drop("_n")

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainwright.functions.sequence import draw
 from chainwright.operators import order
@@ -28,15 +29,24 @@ def paired_summary(df: DataFrame, keys: Sequence[str], baseline: str, method: st
         F.count_if(F.col("_d") < -tie).alias("regressed"),
     )
     median = order.percentiles(deltas, keys, "_d", {"median_delta": 0.5}).drop("n")
-    return counts.join(median, keys) if keys else counts.withColumn("median_delta", median.scalar())
+    return order.join_on(counts, median, keys) if keys else counts.withColumn("median_delta", median.scalar())
 
 
 def units(df: DataFrame, keys: Sequence[str], unit: str, value: str) -> DataFrame:
-    """Sum and size per resampling unit with its ordinal and the number of units."""
+    """Sum and size per resampling unit with its ordinal and the number of units.
+
+    Numbers are numbered in their order, other ids in the order of their digest; a NULL unit is one unit, the last one.
+    """
     keys = list(keys)
     sums = df.groupBy(*keys, unit).agg(F.sum(value).alias("total"), F.count(value).alias("size"))
-    places = order.value_ranks(sums, keys, unit).select(*keys, unit, F.col("before").alias("ordinal"), F.col("n").alias("units"))
-    return sums.join(places, [*keys, unit])
+    if isinstance(df.schema[unit].dataType, T.NumericType):
+        places = order.value_ranks(sums, keys, unit).select(*keys, unit, F.col("before").alias("ordinal"), F.col("n").alias("_known"))
+        placed = order.join_on(sums, places, [*keys, unit], "left")
+        counted = order.attach(placed, keys, F.count(F.lit(1)).alias("units")) if keys else placed.withColumn("units", placed.agg(F.count(F.lit(1))).scalar())
+        return counted.withColumn("ordinal", F.coalesce("ordinal", F.col("units") - 1)).drop("_known")
+    mark = F.coalesce(F.md5(F.col(unit).cast("string")), F.lit("g"))
+    place = order.positions(sums.withColumn("_md5", mark), keys, ["_md5"], F.substring("_md5", 1, 3), name="ordinal", total="units")
+    return place.drop("_md5")
 
 
 def bootstrap(df: DataFrame, keys: Sequence[str], unit: str, value: str, replicates: int, seed: int) -> DataFrame:
@@ -50,7 +60,7 @@ def bootstrap(df: DataFrame, keys: Sequence[str], unit: str, value: str, replica
     slots = table.select(*keys, "units", F.col("ordinal").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = slots.select(*keys, "replicate", draw(F.col("units"), str(seed), F.col("replicate"), F.col("_slot")).alias("ordinal"))
     return (
-        drawn.join(table.select(*keys, "ordinal", "total", "size"), [*keys, "ordinal"])
+        order.join_on(drawn, table.select(*keys, "ordinal", "total", "size"), [*keys, "ordinal"])
         .groupBy(*keys, "replicate")
         .agg((F.sum("total") / F.sum("size")).alias("mean"))
     )
@@ -62,8 +72,8 @@ def interval(replicates: DataFrame, keys: Sequence[str], low: float = 0.025, hig
     return replicates.groupBy(*keys).agg(both.alias("_q")).select(*keys, F.get("_q", F.lit(0)).alias("ci_low"), F.get("_q", F.lit(1)).alias("ci_high"))
 
 
-def sign_flip(df: DataFrame, unit: str, value: str, permutations: int, seed: int) -> DataFrame:
-    """One-sided Monte-Carlo p-value with one shared sign per unit: (1 + exceed) / (1 + N)."""
+def sign_flip(df: DataFrame, unit: str, value: str, permutations: int, seed: int, slack: float = 0.0) -> DataFrame:
+    """One-sided Monte-Carlo p-value with one shared sign per unit: (1 + exceed) / (1 + N); ``slack`` counts near ties as ties."""
     table = units(df, [], unit, value)
     observed = df.agg(F.avg(value)).scalar()
     rows = df.agg(F.count(value)).scalar()
@@ -71,18 +81,24 @@ def sign_flip(df: DataFrame, unit: str, value: str, permutations: int, seed: int
     flips = table.select("ordinal", "total", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation"))
     null = flips.groupBy("permutation").agg(F.sum(F.col("total") * sign).alias("_t"))
     return null.withColumns({"_o": observed, "_n": rows}).agg(
-        F.max("_o").alias("observed"), ((1.0 + F.count_if(F.col("_t") / F.col("_n") >= F.col("_o"))) / (permutations + 1.0)).alias("p_value")
+        F.max("_o").alias("observed"), ((1.0 + F.count_if(F.col("_t") / F.col("_n") >= F.col("_o") - slack)) / (permutations + 1.0)).alias("p_value")
     )
 
 
-def exact_sign_flip(df: DataFrame, unit: str, value: str, most: int = 20, slack: float = 1e-15) -> DataFrame:
-    """Exact p-values over all 2 ** n sign allocations of at most ``most`` units."""
+def exact_sign_flip(df: DataFrame, unit: str, value: str, slack: float = 1e-15) -> DataFrame:
+    """Exact p-values over all 2 ** n sign allocations of the n units.
+
+    The allocations are made in two steps of rows, each with the unit totals as one array, and summed where they are made.
+    """
     table = units(df, [], unit, value)
-    bounded = F.when(F.col("units") > most, F.raise_error(F.lit(f"more than {most} sign units")).cast("long")).otherwise(F.col("units"))
-    masks = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), bounded).cast("long") - 1)).alias("mask")
-    spread = table.select("ordinal", "total", "units", masks)
-    bit = F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2.0), F.col("ordinal"))), F.lit(2))
-    null = spread.groupBy("mask").agg(F.sum(F.col("total") * (1 - 2 * bit)).alias("_t"), F.max("units").alias("_u"))
+    one = table.agg(F.array_sort(F.collect_list(F.struct("ordinal", "total"))).alias("_u"), F.count(F.lit(1)).alias("units"))
+    low = F.least(F.lit(14), F.col("units"))
+    power = lambda n: F.pow(F.lit(2.0), n).cast("long")
+    upper = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), power(F.col("units") - low) - 1)).alias("_high")).repartition("_high")
+    masks = upper.select("_u", "units", (F.col("_high") * power(low)).alias("_base"), F.explode(F.sequence(F.lit(0).cast("long"), power(low) - 1)).alias("_low"))
+    masks = masks.withColumn("mask", F.col("_base") + F.col("_low"))
+    signed = F.transform("_u", lambda u, i: u["total"] * (1 - 2 * F.getbit("mask", i)))
+    null = masks.select(F.aggregate(signed, F.lit(0.0), lambda a, x: a + x).alias("_t"), F.col("units").alias("_u"))
     stats = null.withColumns({"_o": df.agg(F.avg(value)).scalar(), "_n": df.agg(F.count(value)).scalar()}).withColumn("_s", F.col("_t") / F.col("_n"))
     return stats.agg(
         F.max("_o").alias("observed"),
@@ -94,14 +110,14 @@ def exact_sign_flip(df: DataFrame, unit: str, value: str, most: int = 20, slack:
     )
 
 
-def primary_inference(df: DataFrame, target: str, cluster: str, value: str, replicates: int, permutations: int, seed: int, tie: float = 1e-6) -> DataFrame:
+def primary_inference(df: DataFrame, target: str, cluster: str, value: str, replicates: int, permutations: int, seed: int, tie: float = 1e-6, slack: float = 0.0) -> DataFrame:
     """Effect, interval, p-value and counts in one row; bad deltas or blank clusters fail the job."""
     bad = F.col(value).isNull() | F.isnan(value) | F.col(cluster).isNull() | (F.col(cluster).cast("string") == "")
     checked = df.withColumn(value, F.when(bad, F.raise_error(F.lit("non-finite delta or blank cluster")).cast("double")).otherwise(F.col(value)))
     zero = checked.withColumn("_zero", F.lit(0.0))
     row = paired_summary(zero, [], "_zero", value, tie=tie, strict_tie=True)
     ci = interval(bootstrap(checked, [], cluster, value, replicates, seed), []).select(F.struct("ci_low", "ci_high")).scalar()
-    p = sign_flip(checked, cluster, value, permutations, seed).select("p_value").scalar()
+    p = sign_flip(checked, cluster, value, permutations, seed, slack).select("p_value").scalar()
     n = checked.agg(F.count_distinct(cluster)).scalar()
     return row.withColumn("_ci", ci).select(
         "targets", n.alias("clusters"), "mean_delta", "median_delta", F.col("_ci.ci_low").alias("ci_low"), F.col("_ci.ci_high").alias("ci_high"), p.alias("p_value"), "improved", "tied", "regressed"
@@ -126,7 +142,7 @@ def holm(df: DataFrame, keys: Sequence[str], name: str, p: str, alpha: float = 0
 def stratified_effects(df: DataFrame, stratum: str, target: str, baseline: str, method: str, replicates: int, seed: int) -> DataFrame:
     """Effects per stratum, averaged inside a target first, with a target bootstrap."""
     means = df.groupBy(stratum, target).agg(F.avg(baseline).alias("_a"), F.avg(method).alias("_b")).withColumn("_delta", F.col("_b") - F.col("_a"))
-    return paired_summary(means, [stratum], "_a", "_b").join(interval(bootstrap(means, [stratum], target, "_delta", replicates, seed), [stratum]), stratum)
+    return order.join_on(paired_summary(means, [stratum], "_a", "_b"), interval(bootstrap(means, [stratum], target, "_delta", replicates, seed), [stratum]), [stratum])
 
 
 def factorial(df: DataFrame, target: str, row: str, column: str, rows: tuple[str, str], columns: tuple[str, str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +182,7 @@ def effect_grid(df: DataFrame, target: str, cluster: str, setting: str, metrics:
     staged = compare_stages(oriented, target, setting, "_value", comparisons, extra=[cluster, "metric"])
     deltas = staged.withColumn("_delta", F.col("method") - F.col("baseline")).where(F.col("_delta").isNotNull())
     keys = ["comparison", "metric"]
-    return paired_summary(deltas, keys, "baseline", "method").join(interval(bootstrap(deltas, keys, cluster, "_delta", replicates, seed), keys), keys)
+    return order.join_on(paired_summary(deltas, keys, "baseline", "method"), interval(bootstrap(deltas, keys, cluster, "_delta", replicates, seed), keys), keys)
 
 
 def decide(df: DataFrame, low: str, effect: str, margin: float) -> DataFrame:

@@ -250,6 +250,7 @@ def _align(a: str, b: str, match: float, mismatch: float, opening: float, extens
     step = extension * np.arange(m + 1)
     choice = np.zeros((n + 1, m + 1), np.int8)  # 0 stop, 1 diagonal, 2 up, 3 left
     widen = np.zeros((n + 1, m + 1), bool)  # the upward gap goes on
+    lengthen = np.zeros((n + 1, m + 1), bool)  # the gap to the left goes on
     peak, at = 0.0, (0, 0)
     for i in range(1, n + 1):
         longer = up + extension
@@ -261,6 +262,7 @@ def _align(a: str, b: str, match: float, mismatch: float, opening: float, extens
         # A horizontal gap opened at k costs opening + extension * (j - k - 1).
         reach = np.maximum.accumulate(row - step)
         across = np.concatenate([[-np.inf], reach[:-1] + opening + step[1:] - extension])
+        lengthen[i, 1:] = reach[:-1] > (row - step)[:-1]
         total = np.maximum(row, across)
         choice[i] = np.where(across > row, 3, np.where(diagonal >= up, 1, 2))
         if local:
@@ -290,6 +292,8 @@ def _align(a: str, b: str, match: float, mismatch: float, opening: float, extens
                 i -= 1
             i -= 1
         else:
+            while j > 1 and lengthen[i, j]:
+                j -= 1
             j -= 1
     return peak, pairs[::-1]
 

@@ -326,8 +326,10 @@ def spaced_sample(df: DataFrame, keys: Sequence[str], by: Sequence[str], bucket:
 
 def representatives(df: DataFrame, group: str, date: str, key: str) -> DataFrame:
     """Newest member (smallest id on ties) of each duplicate group, for every member."""
-    chosen = df.groupBy(group).agg(F.max_by(key, F.struct(F.col(date), (-F.col(key)).alias("k"))).alias("representative"), F.count(F.lit(1)).alias("members"))
-    return df.join(chosen, group)
+    # the newest has the smallest age, a missing date the largest
+    age = F.coalesce(-F.unix_date(F.col(date).cast("date")), F.lit(2**31 - 1)).alias("age")
+    chosen = df.groupBy(group).agg(F.min_by(key, F.struct(age, F.col(key))).alias("representative"), F.count(F.lit(1)).alias("members"))
+    return order.join_on(df, chosen, [group])
 
 
 def tertiles(df: DataFrame, value: str, key: str, groups: int = 3) -> DataFrame:

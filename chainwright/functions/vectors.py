@@ -108,6 +108,10 @@ def let(values: dict[str, Column], body) -> Column:
     return F.get(F.transform(bound, body), F.lit(0))
 
 
+#: Share of the spread of two point sets below which their deviation counts as zero.
+NOISE = 1e-9
+
+
 def with_rmsd(df, name: str = "rmsd", least: int = 3):
     """Root mean square deviation after the best proper rotation, from the sums of ``pair_statistics``.
 
@@ -158,7 +162,9 @@ def with_rmsd(df, name: str = "rmsd", least: int = 3):
 
     def total(v):
         third = F.when(v["s1"] * v["s2"] > 0, v["det"] / (v["s1"] * v["s2"])).otherwise(0.0)
-        return v["g"] - (v["s1"] + v["s2"] + third) * 2
+        left = v["g"] - (v["s1"] + v["s2"] + third) * 2
+        # what is left of equal point sets is rounding noise
+        return F.when(left < v["g"] * NOISE, 0.0).otherwise(left)
 
     square = let(covariance, gram) / n
     return df.withColumn(name, F.when(n >= least, F.sqrt(F.greatest(square, F.lit(0.0)))))

@@ -82,7 +82,8 @@ def rmsd_sql(source: str, keys: str, name: str = "rmsd") -> str:
         "sqrt(greatest(e1, 0)) AS s1",
         "sqrt(greatest(3*tr - e1 - e3, 0)) AS s2",
         "CASE WHEN s1*s2 > 0 THEN det/(s1*s2) ELSE 0 END AS s3",
-        "(pp - (px*px+py*py+pz*pz)/n + qq - (qx*qx+qy*qy+qz*qz)/n - 2*(s1+s2+s3))/n AS ms",
+        "pp - (px*px+py*py+pz*pz)/n + qq - (qx*qx+qy*qy+qz*qz)/n AS gg",
+        "CASE WHEN gg - 2*(s1+s2+s3) < 1e-9 * gg THEN 0 ELSE (gg - 2*(s1+s2+s3))/n END AS ms",
         f"CASE WHEN n >= 3 THEN sqrt(greatest(ms, 0)) END AS {name}",
     ]
     return f"SELECT {keys}, n, {', '.join(steps)} FROM {source}"
@@ -110,11 +111,9 @@ def sliding_sql(window: int) -> str:
     )
 
 
-@query("wn06_sliding_rmsd", f"WITH {PAIRS}, {CENTRED}, {sliding_sql(9)} SELECT structure, pos, round(window_rmsd, 5) AS window_rmsd, round(per_residue, 5) AS per_residue FROM wp WHERE structure NOT IN (SELECT reference FROM ref)")
+@query("wn06_sliding_rmsd", f"WITH {PAIRS}, {CENTRED}, {sliding_sql(9)} SELECT structure, pos, round(window_rmsd, 5) AS window_rmsd, round(per_residue, 5) AS per_residue FROM wp")
 def _(t):
-    reference = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("structure")).select("structure")
-    # A structure against itself is zero up to rounding noise, so references are left out of the comparison.
-    rows = windows.sliding_rmsd(reference_pairs(t), ["structure"], "pos", 9).join(reference, "structure", "left_anti")
+    rows = windows.sliding_rmsd(reference_pairs(t), ["structure"], "pos", 9)
     return rounded(rows.select("structure", "pos", "window_rmsd", "per_residue"), "window_rmsd", "per_residue", digits=5)
 
 

@@ -14,11 +14,11 @@ from chainwright.sources import files
 from chainwright.streaming import jobs
 
 
-@query("src01_read_sequences", f"WITH {SEQS} SELECT CAST(doc_id AS VARCHAR) AS target_id, seq AS sequence, CAST(DATE '2020-01-01' + CAST(n_chars % 900 AS INTEGER) AS DATE)::VARCHAR AS temporal_cutoff, lang AS all_sequences, CAST(length(seq) AS INTEGER) AS seq_len FROM seqs WHERE seq <> ''")
+@query("src01_read_sequences", f"WITH {SEQS} SELECT CAST(doc_id AS VARCHAR) AS target_id, seq AS sequence, CAST(DATE '2020-01-01' + CAST(n_chars % 900 AS INTEGER) AS DATE)::VARCHAR AS temporal_cutoff, lang AS all_sequences, CAST(length(seq) AS INTEGER) AS seq_len FROM seqs")
 def _(t):
     path = scratch(t.spark, "sequences")
     cutoff = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("n_chars") % 900).cast("int")).cast("string")
-    rows = sequences(t).where("seq <> ''").select(F.col("doc_id").cast("string").alias("target_id"), F.col("seq").alias("sequence"), cutoff.alias("temporal_cutoff"), F.col("lang").alias("all_sequences"))
+    rows = sequences(t).select(F.col("doc_id").cast("string").alias("target_id"), F.col("seq").alias("sequence"), cutoff.alias("temporal_cutoff"), F.col("lang").alias("all_sequences"))
     rows.write.csv(path, header=True, escape='"')
     return files.read_sequences(t.spark, path)
 
@@ -70,13 +70,13 @@ def _(t):
     return files.sequence_of(rows, ["chain"], "pos", "letter")
 
 
-_WRITABLE = f"""{SEQS}, w AS (SELECT doc_id, seq FROM seqs WHERE length(seq) >= 8 AND NOT regexp_full_match(seq, 'N*') AND NOT contains(seq, '>'))"""
+_WRITABLE = f"""{SEQS}, w AS (SELECT doc_id, seq FROM seqs WHERE length(seq) >= 8 AND NOT regexp_full_match(seq, 'N*') AND NOT starts_with(seq, '>'))"""
 
 
 @query("src05_read_fasta", f"WITH {_WRITABLE} SELECT CAST(doc_id AS VARCHAR) AS id, seq FROM w")
 def _(t):
     path = scratch(t.spark, "fasta")
-    files.write_fasta(sequences(t).where(~F.contains("seq", F.lit(">"))), "doc_id", "seq", path)
+    files.write_fasta(sequences(t).where(~F.startswith("seq", F.lit(">"))), "doc_id", "seq", path)
     return files.read_fasta(t.spark, path)
 
 

@@ -82,6 +82,10 @@ def _(t):
     return text.similarity_clusters(sequences(t), "doc_id", "seq")
 
 
+#: Hits of an item that are aligned: the first that pass the gates, a rule of the retrieval.
+GATED = 40
+
+
 def retrieved_pairs(t, most: int):
     """The best entries per item with both sequences attached."""
     hits = text.kmer_retrieve(items(t), sequences(t), "item_id", "doc_id", "seq", K, most).select("item_id", "doc_id", "rank")
@@ -90,10 +94,10 @@ def retrieved_pairs(t, most: int):
 
 @query("sc11_alignment_score")
 def _(t):
-    scored = text.alignment_scores(retrieved_pairs(t, 3), "seq", "entry_seq")
+    scored = text.alignment_scores(retrieved_pairs(t, GATED), "seq", "entry_seq")
     return rounded(scored.select("item_id", "doc_id", "global_score", "local_score"), "global_score", "local_score")
 
 
 @query("sc12_align_transfer")
 def _(t):
-    return rounded(text.align_transfer(retrieved_pairs(t, 3), ["item_id", "doc_id"], "seq", "entry_seq"), "identity", "coverage")
+    return rounded(text.align_transfer(retrieved_pairs(t, GATED), ["item_id", "doc_id"], "seq", "entry_seq"), "identity", "coverage")

@@ -15,18 +15,12 @@ from chainwright.plans.registry import query
 from chainwright.plans.summaries import rounded
 from chainwright.session import durable
 
-NOT_SELF = "structure NOT IN (SELECT reference FROM ref)"
 
 
 def references(t):
     return t.embeddings.groupBy(F.col("label").cast("long").alias("target")).agg(F.min("vec_id").alias("structure"))
 
 
-def without_self(t, df):
-    """A structure against itself is zero up to rounding noise, which SQL cannot reproduce."""
-    return df.join(references(t).select("structure"), "structure", "left_anti")
-
-
 def reference_points(t):
     chosen = references(t)
     return structure_points(t).join(chosen, ["target", "structure"], "left_semi").drop("structure")
@@ -35,10 +29,10 @@ def reference_points(t):
 RMSD = f"rsum AS (SELECT target, structure, {sums_sql()} FROM cen GROUP BY 1, 2), rm AS ({rmsd_sql('rsum', 'target, structure')})"
 
 
-@query("st01_rmsd", f"WITH {PAIRS}, {CENTRED}, {RMSD} SELECT target, structure, n, round(rmsd, 5) AS rmsd FROM rm WHERE {NOT_SELF}")
+@query("st01_rmsd", f"WITH {PAIRS}, {CENTRED}, {RMSD} SELECT target, structure, n, round(rmsd, 5) AS rmsd FROM rm")
 def _(t):
     table = structure.rmsd(reference_pairs(t), ["target", "structure"])
-    return rounded(without_self(t, table), "rmsd", digits=5).select("target", "structure", "n", "rmsd")
+    return rounded(table, "rmsd", digits=5).select("target", "structure", "n", "rmsd")
 
 
 LDDT = """rp AS (SELECT r.target, p.pos, p.x, p.y, p.z FROM ref r JOIN pts p ON p.structure = r.reference), nat AS (SELECT a.target, a.pos AS i, b.pos AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM rp a JOIN rp b ON a.target = b.target AND a.pos < b.pos WHERE a.x IS NOT NULL AND b.x IS NOT NULL AND d <= 15),
@@ -62,11 +56,11 @@ def _window_mean(width: int) -> str:
     "st03_local_accuracy",
     f"""WITH {PAIRS}, {CENTRED}, {RMSD}, {LDDT}, {_window_mean(9)}, {_window_mean(15)}, {_window_mean(31)}
  SELECT target, structure, round(rmsd, 5) AS rmsd, round(lddt, 6) AS lddt, round(lddt_pair, 6) AS lddt_pair, round(m9.v, 5) AS sw_rmsd_9, round(m15.v, 5) AS sw_rmsd_15, round(m31.v, 5) AS sw_rmsd_31
- FROM rm LEFT JOIN ld USING (target, structure) LEFT JOIN lq USING (structure) LEFT JOIN m9 USING (structure) LEFT JOIN m15 USING (structure) LEFT JOIN m31 USING (structure) WHERE {NOT_SELF}""",
+ FROM rm LEFT JOIN ld USING (target, structure) LEFT JOIN lq USING (structure) LEFT JOIN m9 USING (structure) LEFT JOIN m15 USING (structure) LEFT JOIN m31 USING (structure)""",
 )
 def _(t):
     table = structure.local_accuracy(reference_pairs(t), structure_points(t), reference_points(t), "target", "structure")
-    table = rounded(without_self(t, table), "rmsd", "sw_rmsd_9", "sw_rmsd_15", "sw_rmsd_31", digits=5)
+    table = rounded(table, "rmsd", "sw_rmsd_9", "sw_rmsd_15", "sw_rmsd_31", digits=5)
     return rounded(table, "lddt", "lddt_pair").select("target", "structure", "rmsd", "lddt", "lddt_pair", "sw_rmsd_9", "sw_rmsd_15", "sw_rmsd_31")
 
 

@@ -106,12 +106,12 @@ def _(t):
     return aggs.funnel(t.orders, stages, "o_custkey")
 
 
-_REGRET = """sel AS (SELECT target, CASE WHEN setting = 'A' THEN 'P' ELSE 'T' END AS kind, candidate, score FROM panel WHERE setting <> 'N'),
+_REGRET = """sel AS (SELECT target, CASE WHEN setting = 'A' THEN 'P' ELSE 'T' END AS kind, candidate, score FROM panel),
  rt AS (SELECT target, max(CASE WHEN kind = 'T' AND candidate <= 3 THEN score END) AS selected_best, max(CASE WHEN kind = 'T' THEN score END) AS first_oracle, max(CASE WHEN kind = 'P' THEN score END) AS second_oracle, max(score) AS union_oracle FROM sel GROUP BY 1)"""
 
 
 def _regret(t):
-    rows = panel(t).where(F.col("setting") != "N").withColumn("kind", F.when(F.col("setting") == "A", "P").otherwise("T"))
+    rows = panel(t).withColumn("kind", F.when(F.col("setting") == "A", "P").otherwise("T"))
     return aggs.oracle_regret(rows, "target", "kind", "score", F.col("candidate") <= 3, "T", "P")
 
 
@@ -125,11 +125,11 @@ def _(t):
 
 @query(
     "ag11_regret_summary",
-    f"""WITH {PANEL}, {_REGRET} SELECT CAST(count(*) AS BIGINT) AS targets, round(avg(selected_best), 6) AS mean_selected, round(avg(union_oracle), 6) AS mean_oracle, round(avg(union_oracle - first_oracle), 6) AS mean_gain,
- round(avg(union_oracle - selected_best), 6) AS mean_regret, CAST(count(CASE WHEN union_oracle - first_oracle > 1e-8 THEN 1 END) AS BIGINT) AS improved, CAST(count(CASE WHEN abs(union_oracle - first_oracle) <= 1e-8 THEN 1 END) AS BIGINT) AS tied FROM rt""",
+    f"""WITH {PANEL}, {_REGRET} SELECT CAST(count(*) AS BIGINT) AS targets, round(avg(selected_best), 4) AS mean_selected, round(avg(union_oracle), 4) AS mean_oracle, round(avg(union_oracle - first_oracle), 4) AS mean_gain,
+ round(avg(union_oracle - selected_best), 4) AS mean_regret, CAST(count(CASE WHEN union_oracle - first_oracle > 1e-8 THEN 1 END) AS BIGINT) AS improved, CAST(count(CASE WHEN abs(union_oracle - first_oracle) <= 1e-8 THEN 1 END) AS BIGINT) AS tied FROM rt""",
 )
 def _(t):
-    return rounded(aggs.regret_summary(_regret(t)), "mean_selected", "mean_oracle", "mean_gain", "mean_regret")
+    return rounded(aggs.regret_summary(_regret(t)), "mean_selected", "mean_oracle", "mean_gain", "mean_regret", digits=4)
 
 
 @query(
@@ -252,13 +252,13 @@ def _(t):
 
 @query(
     "so01_union_dedup",
-    """WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_totalprice) AS c FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
- u AS (SELECT k, c, 1 AS origin FROM a UNION ALL SELECT k, c, 2 FROM b) SELECT f.k, f.c AS first_c, f.origin AS first_origin, g.c AS best_c, g.origin AS best_origin
+    """WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_totalprice) AS c FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), p AS (SELECT o_custkey AS k, max(o_totalprice) AS c FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+ u AS (SELECT k, c, 1 AS origin FROM a UNION ALL SELECT k, c, 2 FROM b UNION ALL SELECT k, c, 3 FROM p) SELECT f.k, f.c AS first_c, f.origin AS first_origin, g.c AS best_c, g.origin AS best_origin
  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY origin) AS r FROM u) f JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, origin) AS r FROM u) g ON f.k = g.k AND f.r = 1 AND g.r = 1""",
 )
 def _(t):
     side = lambda status, n: t.orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("c")).withColumn("origin", F.lit(n))
-    frames = [side("F", 1), side("O", 2)]
+    frames = [side("F", 1), side("O", 2), side("P", 3)]
     first = sets.union_dedup(frames, ["k"]).withColumnsRenamed({"c": "first_c", "origin": "first_origin"})
     best = sets.union_dedup(frames, ["k"], confidence="c").withColumnsRenamed({"c": "best_c", "origin": "best_origin"})
     return first.join(best, "k")

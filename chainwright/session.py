@@ -57,15 +57,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a few large input splits over all cores before work that is heavy per row.
-
-    Inputs with at least one split per core, the normal case at scale, are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate files, under the shared folder the session names."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -36,7 +36,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     Records are split at ``>`` line starts by the text source, so files stay splittable;
     text before the first header fails the job.
     """
-    records = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
+    lines = in_order(spark.read.option("lineSep", "\n>").text(path))
+    # the first record of every file must be a header
+    heads = lines.groupBy(F.col("_no.file_path").alias("_file")).agg(F.min_by(F.startswith("value", F.lit(">")), "_no").alias("_starts"))
+    records = lines.join(heads, F.col("_no.file_path") == F.col("_file"))
+    records = records.withColumn("value", F.when(F.col("_starts"), F.col("value")).otherwise(F.raise_error(F.lit("FASTA text before the first header")))).where(F.length(F.trim("value")) > 0)
     body = F.regexp_replace("value", "^>", "")
     first = F.substring_index(body, "\n", 1)
     parsed = records.select(F.regexp_extract(first, r"^(\S+)", 1).alias("id"), normalize_seq(F.substring(body, F.length(first) + 1, F.length(body))).alias("seq"))
@@ -99,9 +103,15 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], HIT_SCHEMA)
 
 
+def in_order(lines: DataFrame) -> DataFrame:
+    """Lines with ``_no``, which follows their order: by file, block and place, as large files are not read in name order."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return lines.withColumn("_no", at)
+
+
 def read_release_dates(spark: SparkSession, path: str) -> DataFrame:
     """(entry, released) from lines whose second field is an ISO date; the last line of an entry wins."""
-    lines = spark.read.text(path).withColumn("_no", F.monotonically_increasing_id())
+    lines = in_order(spark.read.text(path))
     fields = F.split("value", ",")
     rows = lines.select(F.upper(F.trim(F.get(fields, F.lit(0)))).alias("entry"), F.trim(F.get(fields, F.lit(1))).alias("_d"), "_no")
     dated = rows.where(F.col("_d").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("entry") != ""))
@@ -115,7 +125,7 @@ def read_atoms(spark: SparkSession, path: str, atom: str = "C1'") -> DataFrame:
     """
     text = spark.read.text(path)
     folders = [c for c in text.columns if c != "value"]
-    lines = text.withColumn("_no", F.monotonically_increasing_id())
+    lines = in_order(text)
     cut = lambda start, size: F.trim(F.substring("value", start, size))
     atoms = lines.where(F.col("value").rlike("^(ATOM  |HETATM)") & (cut(13, 4) == atom)).select(
         *folders, cut(22, 1).alias("chain"), cut(23, 4).cast("int").alias("resid"), cut(18, 3).alias("resname"), *[F.expr(f"try_cast(trim(substring(value, {31 + 8 * i}, 8)) AS DOUBLE)").alias(a) for i, a in enumerate("xyz")], "_no"

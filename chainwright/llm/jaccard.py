@@ -13,7 +13,7 @@ own l by the estimated cost of its candidates; a pair must share the smaller of
    with too many of them is done, and the others choose their prefixes anew among the shared tokens. That ends groups of copies
    that are similar but not linked, without listing their pairs. What is left is compared with ``HOT`` pivots of each bucket
    at a time, until no bucket spans components.
-5. Links are verified on whole sets and components are found by passing on the smallest label.
+5. A pair goes on only if the counts of its tokens by bin leave room for a link. Links are verified on whole sets and components are found by passing on the smallest label.
 
 Sets are compared by 64-bit hashes of shingles; classes have 128-bit keys. Nothing that grows with the data is collected; tables
 are broadcast only while their counted rows stay below ``BROADCAST_ROWS``.
@@ -46,6 +46,10 @@ HOT = 64
 #: Mean companions of a prefix token from which a longer prefix is taken.
 COSTLY = 16.0
 BROADCAST_ROWS = 1_000_000
+#: Bins of the token counts that bound an overlap, and the count from which a bin says nothing.
+BINS, FULL = 256, 32_000
+#: Rows with such counts (about 500 bytes) are broadcast up to so many.
+BROADCAST_COUNTS = 20_000
 BATCH_CHARS = 2_000_000
 
 
@@ -86,9 +90,9 @@ def prefix_of(tokens: np.ndarray, level: np.ndarray, excess: np.ndarray) -> tupl
 
 
 def sketch(docs: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
-    """Add ``_n`` (set size), ``_c`` (128-bit key of the set, null if empty), ``_prefix`` and ``_matches``."""
+    """Add ``_n`` (set size), ``_c`` (128-bit key of the set, null if empty), ``_prefix``, ``_matches`` and ``_hist``, the tokens by ``BINS``."""
     level, excess = _classes_of(counts)
-    fields = [T.StructField("_n", T.LongType()), T.StructField("_c", T.BinaryType()), T.StructField("_prefix", T.ArrayType(T.LongType())), T.StructField("_matches", T.IntegerType())]
+    fields = [T.StructField("_n", T.LongType()), T.StructField("_c", T.BinaryType()), T.StructField("_prefix", T.ArrayType(T.LongType())), T.StructField("_matches", T.IntegerType()), T.StructField("_hist", T.ArrayType(T.ShortType()))]
 
     def work(values: pa.Array) -> list[pa.Array]:
         hashes, at = shingle_sets([x or "" for x in values.to_pylist()], WIDTH)
@@ -100,7 +104,10 @@ def sketch(docs: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
             matches.append(m)
         flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
         ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
-        return [pa.array(size), keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(matches, pa.int32())]
+        bins = np.repeat(np.arange(len(size)) * BINS, size) + (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+        hist = np.minimum(np.bincount(bins, minlength=len(size) * BINS), FULL).astype(np.int16)
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BINS), pa.array(hist))
+        return [pa.array(size), keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(matches, pa.int32()), each]
 
     return append(docs, text, fields, work, BATCH_CHARS)
 
@@ -117,9 +124,9 @@ def _keys(hashes: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _near(df: DataFrame) -> DataFrame:
+def _near(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The frame marked for broadcast while it is small; rows are counted first."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _links(a: Column, b: Column, shared: Column) -> Column:
@@ -135,15 +142,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``c`` and ``label``, the smallest key of its component, for all keys that have an edge (``a``, ``b``)."""
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "c"), "labels")
-    while True:
-        heard = both.join(labels.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("_new"))
-        lower = labels.join(heard, "c").select("c", "label", F.least("label", "_new").alias("_new"))
+    changed = labels
+    while not changed.isEmpty():
+        # only labels that fell since the last step are passed on
+        told = both.join(_near(changed.select(F.col("c").alias("b"), "label")), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("_new"))
+        known = _near(labels)
         # a label is a key of the same component and may know a smaller one
-        jump = labels.select(F.col("c").alias("_new"), F.col("label").alias("_far"))
-        step = stash(lower.join(jump, "_new", "left").select("c", F.col("label").alias("_old"), F.least("_new", F.coalesce("_far", "_new")).alias("label")), "labels")
-        labels = step.select("c", "label")
-        if step.where("_old != label").isEmpty():
-            return labels
+        jump = known.select(F.col("c").alias("_new"), F.col("label").alias("_far"))
+        fell = told.join(jump, "_new", "left").select("c", F.least("_new", F.coalesce("_far", "_new")).alias("_low"))
+        fell = stash(fell.join(known, "c").where("_low < label").select("c", F.col("_low").alias("label")), "fell")
+        changed = fell
+        labels = stash(labels.join(_near(fell.withColumnRenamed("label", "_low")), "c", "left").select("c", F.coalesce("_low", "label").alias("label")), "labels")
+    return labels
 
 
 def _buckets(postings: DataFrame) -> DataFrame:
@@ -158,14 +168,14 @@ def _buckets(postings: DataFrame) -> DataFrame:
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets that span components, with the component ``g`` of each posting."""
-    tagged = buckets.join(labels, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label")
+    tagged = buckets.join(_near(labels), "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label")
     span = tagged.groupBy("t").agg((F.min("g") != F.max("g")).alias("_o"), F.count(F.lit(1)).alias("_k")).where("_o")
     return tagged.drop("k").join(_near(stash(span.select("t", F.col("_k").alias("k")), "open")), "t")
 
 
 def _pivots(buckets: DataFrame, many: int) -> DataFrame:
     """Keys of the ``many`` members of each bucket that have the most companions in all their buckets."""
-    cost = buckets.groupBy("c").agg(F.sum("k").alias("w"))
+    cost = _near(stash(buckets.groupBy("c").agg(F.sum("k").alias("w")), "cost"))
     ranked = buckets.select("t", "c").join(cost, "c")
     place = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("w"), "c"))
     return stash(ranked.withColumn("_p", place).where(F.col("_p") <= many).select("c").distinct(), "pivots")
@@ -193,6 +203,17 @@ def _candidates(buckets: DataFrame, pivots: DataFrame | None) -> DataFrame:
     return seen.where(enough & (F.col("s") >= F.least("a_m", "m"))).select("a", "b")
 
 
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose token counts by bin leave room for a link: two sets share at most the smaller count of each bin."""
+    pairs = stash(pairs, "pairs")
+    right = classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("hist").alias("h_b")).join(_near(pairs), "b")
+    heads = stash(classes.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi").select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("hist").alias("h_a")), "heads")
+    smaller = F.zip_with("h_a", "h_b", lambda x, y: F.when((x >= FULL) & (y >= FULL), F.lit(1 << 30)).otherwise(F.least(x, y).cast("int")))
+    most = F.aggregate(smaller, F.lit(0).cast("long"), lambda t, x: t + x)
+    room = (100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    return stash(right.join(_near(heads, BROADCAST_COUNTS), "a").where(room).select("a", "b"), "bounded")
+
+
 def _with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """``wanted`` (``rep``, ``c``, more) with ``n`` and ``s``, the whole set of the class ``c``, made anew from a text.
 
@@ -230,12 +251,12 @@ def _peeled(sets: DataFrame) -> DataFrame:
 
     Sets that lack the shared tokens for any link leave, which may leave more tokens alone, until none does.
     """
-    tokens = sets.select("c", "n", F.explode("s").alias("t"))
+    tokens = stash(sets.select("c", "n", F.explode("s").alias("t")), "tokens")
     alive = None
     while True:
         here = tokens if alive is None else tokens.join(_near(alive), "c", "left_semi")
-        held = here.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        shared = stash(here.join(held, "t"), "shared")
+        held = stash(here.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "held")
+        shared = stash(here.join(_near(held), "t"), "shared")
         left = shared.groupBy("c", "n").agg(F.count(F.lit(1)).alias("left"))
         now = stash(left.where(100 * F.col("left") >= PERCENT * F.col("n")), "alive")
         before = sets.count() if alive is None else alive.count()
@@ -244,7 +265,7 @@ def _peeled(sets: DataFrame) -> DataFrame:
             break
     # prefixes among the shared tokens, rarest first; the missing ones are already used up
     ordered = F.array_sort(F.collect_list(F.struct("k", "t")))
-    again = shared.join(now.select("c", "left"), "c").groupBy("c", "n", "left").agg(ordered.alias("_o"))
+    again = shared.join(_near(now.select("c", "left")), "c").groupBy("c", "n", "left").agg(ordered.alias("_o"))
     missing = F.col("left") - F.ceil(F.col("n") * PERCENT / F.lit(100)).cast("long")
     again = again.withColumn("_p", F.slice("_o", 1, (missing + 1).cast("int")))
     return again.select("c", "n", F.lit(1).alias("m"), F.col("left").alias("r"), F.size("_p").alias("p"), F.posexplode("_p.t").alias("i", "t"))
@@ -257,39 +278,44 @@ def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     made = stash(sketch(rows, "_text", counts).drop("_text"), "sketches")
     classes = stash(
         made.where("_c IS NOT NULL").groupBy(F.col("_c").alias("c"))
-        .agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.first("_matches").alias("m"), F.first("_prefix").alias("_prefix")), "classes"
+        .agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.first("_matches").alias("m"), F.first("_prefix").alias("_prefix"), F.first("_hist").alias("hist")), "classes"
     )
     reps = classes.select("c", "rep")
     buckets = _buckets(classes.select(F.posexplode("_prefix").alias("i", "t"), "c", "n", "m", F.col("n").alias("r"), F.size("_prefix").alias("p")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.join(reps.withColumnRenamed("c", "b"), "b").select("rep", F.col("b").alias("c"), "a")
-        heads = reps.join(pairs.select(F.col("a").alias("c")).distinct(), "c").select("rep", "c")
+        pairs = _bounded(pairs, classes)
+        asked = reps.withColumnRenamed("c", "b").join(_near(pairs), "b").select("rep", F.col("b").alias("c"), "a")
+        heads = reps.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi").select("rep", "c")
         return stash(_linking(_with_sets(docs, key, text, asked), _with_sets(docs, key, text, heads)), "links")
 
     waiting = buckets.withColumn("g", F.col("c"))
     pivots = _pivots(waiting, 1)
-    links = verified(stash(_candidates(waiting, pivots), "pairs"))
+    links = verified(_candidates(waiting, pivots))
     labels = components(links)
     waiting = stash(_open(buckets.join(_near(pivots), "c", "left_anti"), labels), "waiting")
-    links = links.union(verified(stash(_candidates(waiting.where(F.col("k") <= HOT), None), "pairs")))
+    links = links.union(verified(_candidates(waiting.where(F.col("k") <= HOT), None)))
     labels = components(links)
     waiting = stash(_open(waiting.where(F.col("k") > HOT).drop("g"), labels), "waiting")
     sets = None
     while not waiting.isEmpty():
         still = waiting.select("c").distinct()
+        still = _near(still)
         sets = _sets(docs, key, text, reps.join(still, "c", "left_semi")) if sets is None else stash(sets.join(still, "c", "left_semi"), "sets")
         waiting = stash(_open(_buckets(_peeled(sets)), labels), "waiting")
         pivots = _pivots(waiting, HOT)
-        pairs = stash(_candidates(waiting, pivots), "pairs")
-        asked = sets.join(pairs.select("a", F.col("b").alias("c")), "c")
-        links = links.union(stash(_linking(asked, sets.join(pairs.select(F.col("a").alias("c")).distinct(), "c", "left_semi")), "links"))
-        labels = components(links)
+        pairs = _bounded(_candidates(waiting, pivots), classes)
+        asked = sets.join(_near(pairs.select("a", F.col("b").alias("c"))), "c")
+        heads = sets.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi")
+        found = stash(_linking(asked, heads), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
         waiting = stash(_open(waiting.drop("g").join(_near(pivots), "c", "left_anti"), labels), "waiting")
-    tagged = classes.join(labels, "c").select("c", "label", "rep")
-    least = tagged.groupBy("label").agg(F.min("rep").alias("component"))
-    better = tagged.join(least, "label").select("c", "label", "component")
-    members = classes.join(better, "c", "left").select("c", F.coalesce("label", "c").alias("g"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
+    tagged = stash(reps.join(_near(labels), "c").select("c", "label", "rep"), "tagged")
+    least = stash(tagged.groupBy("label").agg(F.min("rep").alias("component")), "least")
+    better = _near(stash(tagged.join(_near(least), "label").select("c", "label", "component"), "better"))
+    members = reps.join(better, "c", "left").select("c", F.coalesce("label", "c").alias("g"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
     joined = made.select("_id", "_mark", "_n", "_c").join(members, F.col("_c") == F.col("c"), "left")
     return joined.select("_id", "_mark", "_n", F.col("g").alias("_g"), F.when(F.col("_c").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"))
 

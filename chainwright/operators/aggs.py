@@ -148,17 +148,19 @@ def source_oracle(scores: DataFrame, target: str, source: str, value: str, sourc
     return table.withColumn("union_best", top).withColumn("winner", winner)
 
 
-def bank_diversity(vectors: DataFrame, bank: Sequence[str], vid: str, vector: str, similar: Column, near: float = 0.95, limit: int = 64) -> DataFrame:
+def bank_diversity(vectors: DataFrame, bank: Sequence[str], vid: str, vector: str, similar: Column, near: float = 0.95, block: int = 256) -> DataFrame:
     """Mean pairwise similarity and share of near duplicates of each bank.
 
-    A bank of more than ``limit`` candidates fails the job, which is what makes its
-    pairs affordable.  ``similar`` is an expression on the columns va and vb.
+    ``similar`` is an expression on the columns va and vb. The pairs of a bank are the result's
+    own size; they are spread over cells of at most ``block`` by ``block`` rows, so a large bank is many tasks.
     """
     bank = list(bank)
-    vectors = order.bounded_groups(vectors, bank, limit)
-    a = vectors.select(*bank, F.col(vid).alias("ia"), F.col(vector).alias("va"))
-    b = vectors.select(*bank, F.col(vid).alias("ib"), F.col(vector).alias("vb"))
-    pairs = a.join(b, bank).where(F.col("ia") < F.col("ib")).select(*bank, similar.alias("_s"))
+    sized = order.attach(vectors.select(*bank, F.col(vid).alias("_i"), F.col(vector).alias("_v")), bank, F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
+    dealt = sized.withColumn("_at", F.pmod(F.xxhash64("_i"), F.col("_parts")).cast("int"))
+    a = dealt.select(*bank, F.col("_i").alias("ia"), F.col("_v").alias("va"), F.col("_at").alias("_x"), F.explode(F.sequence("_at", F.col("_parts") - 1)).alias("_y"))
+    b = dealt.select(*bank, F.col("_i").alias("ib"), F.col("_v").alias("vb"), F.col("_at").alias("_y"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_x"))
+    met = order.join_on(a, b, [*bank, "_x", "_y"]).where((F.col("_x") < F.col("_y")) | (F.col("ia") < F.col("ib")))
+    pairs = met.select(*bank, similar.alias("_s"))
     return pairs.groupBy(*bank).agg(
         F.count(F.lit(1)).alias("pairs"),
         F.avg("_s").alias("mean_similarity"),

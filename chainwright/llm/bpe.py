@@ -33,9 +33,9 @@ from chainwright.llm.batches import append
 from chainwright.llm.common import hex_digest
 
 #: Characters of text in one numpy batch.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 #: Words whose ids a task keeps for later batches.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -208,15 +208,17 @@ def decode_lists(t: Tables, ids: pa.ListArray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), words), " ")
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids``: the token ids of the whole text."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add ``ids``, the token ids of the whole text, and, if named, ``decoded``, the text that these ids decode to."""
     tables = load(path)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def work(values: pa.Array) -> list[pa.Array]:
         flat, at = encode_batch(tables, [x or "" for x in values.to_pylist()])
-        return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))]
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+        return [lists, *([decode_lists(tables, lists)] if decoded else [])]
 
-    return append(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], work, BATCH_CHARS)
+    return append(df, text, fields, work, BATCH_CHARS)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -231,7 +233,7 @@ def op5_bpe(spark, folder: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    done = decode(encode(docs, path).drop("text"), path)
+    done = encode(docs, path, decoded="decoded")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

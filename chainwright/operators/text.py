@@ -90,21 +90,21 @@ def kmer_retrieve(queries: DataFrame, library: DataFrame, qid: str, tid: str, se
     return topn(counts, [qid], [F.desc("shared"), F.col(tid)], most, rank="rank")
 
 
-def near_overlap(targets: DataFrame, corpus: DataFrame, tid: str, cid: str, seq: str, k: int = 13, identity: float = 0.8, coverage: float = 0.0) -> DataFrame:
-    """Hits, largest containments and a PASS / EXCLUDE status per target.
+def near_overlap(targets: DataFrame, corpus: DataFrame, tid: str, cid: str, seq: str, k: int = 13, identity: float = 0.8, coverage: float = 0.8) -> DataFrame:
+    """Hits, their largest containments (NULL without hits) and a PASS / EXCLUDE status per target.
 
     Containment of the target's k-mers stands in for identity and query coverage,
-    containment of the entry's k-mers for target coverage.
+    containment of the entry's k-mers for target coverage; a hit needs both.
     """
     pairs = shared_kmers(targets, corpus, tid, cid, seq, k)
     scored = pairs.select(tid, (F.col("shared") / F.col("q_kmers")).alias("_q"), (F.col("shared") / F.col("t_kmers")).alias("_t"))
-    hit = (F.col("_q") >= identity) & (F.col("_t") >= coverage)
-    summary = scored.groupBy(tid).agg(F.count_if(hit).alias("hits"), F.max("_q").alias("max_query_coverage"), F.max("_t").alias("max_target_coverage"))
+    found = scored.where((F.col("_q") >= identity) & (F.col("_t") >= coverage))
+    summary = found.groupBy(tid).agg(F.count(F.lit(1)).alias("hits"), F.max("_q").alias("max_query_coverage"), F.max("_t").alias("max_target_coverage"))
     return targets.select(tid).join(summary, tid, "left").select(
         tid,
         F.coalesce("hits", F.lit(0).cast("long")).alias("hits"),
-        F.coalesce("max_query_coverage", F.lit(0.0)).alias("max_query_coverage"),
-        F.coalesce("max_target_coverage", F.lit(0.0)).alias("max_target_coverage"),
+        "max_query_coverage",
+        "max_target_coverage",
         F.when(F.coalesce("hits", F.lit(0)) > 0, "EXCLUDE").otherwise("PASS").alias("status"),
     )
 

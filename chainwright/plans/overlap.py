@@ -43,13 +43,29 @@ def _(t):
     return text.exact_overlap(docs.withColumnRenamed("doc_id", "target"), docs, "target", "doc_id", "source", "seq")
 
 
+def _near_sql(coverage: str) -> str:
+    return f"""WITH {SHARED}, s AS (SELECT item_id, shared / CAST(q_kmers AS DOUBLE) AS q, shared / CAST(t_kmers AS DOUBLE) AS t FROM sh JOIN nd USING (doc_id) JOIN nq USING (item_id)), g AS (SELECT item_id, count(*) AS hits, max(q) AS mq, max(t) AS mt FROM s WHERE q >= 0.8 AND t >= {coverage} GROUP BY 1)
+ SELECT item_id, CAST(coalesce(hits, 0) AS BIGINT) AS hits, round(mq, 6) AS max_query_coverage, round(mt, 6) AS max_target_coverage, CASE WHEN hits > 0 THEN 'EXCLUDE' ELSE 'PASS' END AS status FROM benchmark LEFT JOIN g USING (item_id)"""
+
+
+@query("jn04_near_overlap", _near_sql("0.8"))
+def _(t):
+    return rounded(text.near_overlap(items(t), sequences(t), "item_id", "doc_id", "seq"), "max_query_coverage", "max_target_coverage")
+
+
+@query("jn04_contained_overlap", _near_sql("0"))
+def _(t):
+    """Items inside longer entries: only the target's own containment counts."""
+    return rounded(text.near_overlap(items(t), sequences(t), "item_id", "doc_id", "seq", coverage=0.0), "max_query_coverage", "max_target_coverage")
+
+
 @query(
-    "jn04_near_overlap",
-    f"""WITH {SHARED}, s AS (SELECT item_id, shared / CAST(q_kmers AS DOUBLE) AS q, shared / CAST(t_kmers AS DOUBLE) AS t FROM sh JOIN nd USING (doc_id) JOIN nq USING (item_id)), g AS (SELECT item_id, count(CASE WHEN q >= 0.8 THEN 1 END) AS hits, max(q) AS mq, max(t) AS mt FROM s GROUP BY 1)
- SELECT item_id, CAST(coalesce(hits, 0) AS BIGINT) AS hits, round(coalesce(mq, 0), 6) AS max_query_coverage, round(coalesce(mt, 0), 6) AS max_target_coverage, CASE WHEN hits > 0 THEN 'EXCLUDE' ELSE 'PASS' END AS status FROM benchmark LEFT JOIN g USING (item_id)""",
+    "jn05_mentions",
+    """SELECT DISTINCT token, doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) JOIN (SELECT DISTINCT regexp_extract(lower(text), '[a-z]+') AS token FROM benchmark) USING (token) WHERE token <> ''""",
 )
 def _(t):
-    return rounded(text.near_overlap(items(t), sequences(t), "item_id", "doc_id", "seq"), "max_query_coverage", "max_target_coverage")
+    ids = t.benchmark.select(F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("token")).where(F.col("token") != "").distinct()
+    return text.mentions(t.documents, ids, "doc_id", "text", "token", "[a-z]+").select("token", "doc_id")
 
 
 @query(

@@ -277,9 +277,11 @@ def _(t):
 # ------------------------------------------------------------------ streams
 
 
-def _stream(t, name="events"):
-    schema = t.spark.read.parquet(f"{t.folder}/{name}.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+def _stream(t):
+    """The events as four files, one micro-batch each, so state, anti-joins and updates meet earlier batches."""
+    path = scratch(t.spark, "events")
+    t.events.repartition(4, "event_id").write.parquet(path)
+    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _drain(writer, path):

@@ -11,8 +11,8 @@ own l by the estimated cost of its candidates; a pair must share the smaller of
    that still span components, those of up to ``HOT`` classes are compared pairwise.
 4. The sets in larger open buckets are counted exactly: a token that no other of these sets holds cannot be shared, so a set
    with too many of them is done, and the others choose their prefixes anew among the shared tokens. That ends groups of copies
-   that are similar but not linked, without listing their pairs. What is left is compared with ``HOT`` pivots of each bucket
-   at a time, until no bucket spans components.
+   that are similar but not linked, without listing their pairs. What is left is compared with ``HOT`` pivots of each bucket, then
+   with ``MORE`` times as many each round, until no bucket spans components.
 5. A pair goes on only if the counts of its tokens by bin leave room for a link. Links are verified on whole sets and components are found by passing on the smallest label.
 
 Sets are compared by 64-bit hashes of shingles; classes have 128-bit keys. Nothing that grows with the data is collected; tables
@@ -43,6 +43,8 @@ SLOTS = 1 << 16
 LONGEST = 8
 #: Buckets of up to so many classes are compared pairwise in the second step, larger ones go by pivots.
 HOT = 64
+#: Factor by which each further round takes more pivots, so rounds grow with the logarithm of the largest bucket.
+MORE = 16
 #: Mean companions of a prefix token from which a longer prefix is taken.
 COSTLY = 16.0
 BROADCAST_ROWS = 1_000_000
@@ -246,12 +248,12 @@ def _linking(members: DataFrame, pivots: DataFrame) -> DataFrame:
     return both.where(_links(F.col("n_a"), F.col("n"), F.size(F.array_intersect("s_a", "s")))).select("a", F.col("c").alias("b")).distinct()
 
 
-def _peeled(sets: DataFrame) -> DataFrame:
-    """Postings of the shared tokens of open sets: ``t``, ``c``, ``n``, ``left`` (shared tokens) and ``m``, or no rows.
+def _peeled(tokens: DataFrame) -> DataFrame:
+    """Postings of the shared tokens of open sets (``c``, ``n``, ``t``), with ``r`` the number of shared ones.
 
     Sets that lack the shared tokens for any link leave, which may leave more tokens alone, until none does.
     """
-    tokens = stash(sets.select("c", "n", F.explode("s").alias("t")), "tokens")
+    sets = tokens.select("c").distinct()
     alive = None
     while True:
         here = tokens if alive is None else tokens.join(_near(alive), "c", "left_semi")
@@ -297,13 +299,16 @@ def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     links = links.union(verified(_candidates(waiting.where(F.col("k") <= HOT), None)))
     labels = components(links)
     waiting = stash(_open(waiting.where(F.col("k") > HOT).drop("g"), labels), "waiting")
-    sets = None
+    sets, tokens, many = None, None, HOT
     while not waiting.isEmpty():
         still = waiting.select("c").distinct()
         still = _near(still)
         sets = _sets(docs, key, text, reps.join(still, "c", "left_semi")) if sets is None else stash(sets.join(still, "c", "left_semi"), "sets")
-        waiting = stash(_open(_buckets(_peeled(sets)), labels), "waiting")
-        pivots = _pivots(waiting, HOT)
+        # tokens are listed once; later rounds only leave out the sets that are done
+        tokens = stash(sets.select("c", "n", F.explode("s").alias("t")) if tokens is None else tokens.join(still, "c", "left_semi"), "tokens")
+        waiting = stash(_open(_buckets(_peeled(tokens)), labels), "waiting")
+        pivots = _pivots(waiting, many)
+        many *= MORE
         pairs = _bounded(_candidates(waiting, pivots), classes)
         asked = sets.join(_near(pairs.select("a", F.col("b").alias("c"))), "c")
         heads = sets.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi")

@@ -20,7 +20,7 @@ from chainwright.functions.sequence import soft_label
 from chainwright.operators import order, windows
 from chainwright.operators.joins import radius_pairs
 from chainwright.operators.priors import nll_lookup
-from chainwright.session import durable
+from chainwright.session import durable, stash
 
 COMPLEMENTS = ("AU", "UA", "GC", "CG", "GU", "UG")  # fixed pair types
 LDDT_THRESHOLDS = (0.5, 1.0, 2.0, 4.0)  # fixed thresholds
@@ -409,33 +409,52 @@ def make_examples(first: DataFrame, second: DataFrame, keys: Sequence[str], refe
 # ---------------------------------------------------------------- banks of candidates
 
 
-def fold_families(vectors: DataFrame, bank: Sequence[str], cid: str, vector: str, threshold: float, limit: int = 64) -> DataFrame:
-    """Complete-link families inside bounded banks, labelled by first member.
+def fold_families(vectors: DataFrame, bank: Sequence[str], cid: str, vector: str, threshold: float, block: int = 256) -> DataFrame:
+    """Complete-link families of each bank by cosine, numbered by first member; ids are distinct in a bank.
 
-    A bank with more than ``limit`` candidates fails the job before it is grouped.
+    Copies of a vector are one node. Only pairs within the threshold are kept, found in cells of at most ``block`` by ``block``
+    nodes. Each round merges all pairs of clusters that are nearest to each other, which gives the families of one merge at
+    a time: a new link is the larger of the old ones, and is gone if one of them is. Ties go to the smaller first members.
     """
     bank = list(bank)
-    guarded = order.bounded_groups(vectors, bank, limit)
-
-    def families(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(cid)
-        matrix = np.stack(frame[vector].to_numpy()).astype(float)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        distance = np.clip(1.0 - matrix @ matrix.T, 0.0, 1.0)
-        groups = [[i] for i in range(len(frame))]
-        while len(groups) > 1:
-            links = [(max(distance[i, j] for i in a for j in b), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups[:x])]
-            gap, x, y = min(links)
-            if gap > 1.0 - threshold:
-                break
-            groups[y] += groups.pop(x)
-        label = np.zeros(len(frame), dtype="int64")
-        for number, members in enumerate(sorted(groups, key=min)):
-            label[members] = number
-        return frame[[*bank, cid]].assign(family=label)
-
-    schema = ", ".join([*[f"{c} {t}" for c, t in vectors.select(*bank, cid).dtypes], "family long"])
-    return guarded.select(*bank, cid, vector).groupBy(*bank).applyInPandas(families, schema)
+    size = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = vectors.select(*bank, cid, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    nodes = stash(rows.groupBy(*bank, "_v").agg(F.min(cid).alias("_i")), "nodes")
+    members = stash(order.join_on(rows, nodes, [*bank, "_v"]).select(*bank, cid, F.col("_i").alias("_l")), "members")
+
+    units = nodes.select(*bank, "_i", F.transform("_v", lambda x: x / F.greatest(size, F.lit(1e-300))).alias("_u"))
+    sized = order.attach(units, bank, F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
+    dealt = sized.withColumn("_at", F.pmod(F.xxhash64("_i"), F.col("_parts")).cast("int"))
+    left = dealt.select(*bank, F.col("_i").alias("_a"), F.col("_u").alias("_ua"), F.col("_at").alias("_x"), F.explode(F.sequence("_at", F.col("_parts") - 1)).alias("_y"))
+    right = dealt.select(*bank, F.col("_i").alias("_b"), F.col("_u").alias("_ub"), F.col("_at").alias("_y"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_x"))
+    met = order.join_on(left, right, [*bank, "_x", "_y"]).where((F.col("_x") < F.col("_y")) | (F.col("_a") < F.col("_b")))
+    dot = F.aggregate(F.zip_with("_ua", "_ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    far = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - dot)).alias("_d")
+    pairs = met.select(*bank, F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b"), far)
+    edges = stash(pairs.where(F.col("_d") <= 1.0 - threshold), "edges")
+
+    while True:
+        ends = edges.select(*bank, F.explode(F.array("_a", "_b")).alias("_e"), F.struct("_d", "_a", "_b").alias("_p"))
+        nearest = ends.groupBy(*bank, "_e").agg(F.min("_p").alias("_p"))
+        mutual = nearest.groupBy(*bank, "_p").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
+        both = F.array(*[F.struct(F.col(f"_p.{c}").alias("_old"), F.col("_p._b").alias("_new")) for c in ("_a", "_b")])
+        merged = stash(mutual.select(*bank, F.inline(both)), "merged")
+        if merged.isEmpty():
+            break
+
+        def moved(df: DataFrame, column: str, to: str, here: DataFrame = merged) -> DataFrame:
+            return order.join_on(df, here.select(*bank, F.col("_old").alias(column), F.col("_new").alias(to)), [*bank, column], "left")
+
+        members = stash(moved(members, "_l", "_to").select(*bank, cid, F.coalesce("_to", "_l").alias("_l")), "members")
+        now = moved(moved(edges, "_a", "_ma"), "_b", "_mb").withColumns({"_na": F.coalesce("_ma", "_a"), "_nb": F.coalesce("_mb", "_b")})
+        parts = F.when(F.col("_ma").isNull(), 1).otherwise(2) * F.when(F.col("_mb").isNull(), 1).otherwise(2)
+        linked = now.where(F.col("_na") != F.col("_nb")).groupBy(*bank, F.greatest("_na", "_nb").alias("_a"), F.least("_na", "_nb").alias("_b"))
+        edges = stash(linked.agg(F.max("_d").alias("_d"), F.count(F.lit(1)).alias("_n"), F.max(parts).alias("_k")).where("_n = _k").drop("_n", "_k"), "edges")
+
+    first = members.groupBy(*bank, "_l").agg(F.min(cid).alias("_f"))
+    bucket = order.order_bucket(F.col("_f")) if isinstance(first.schema["_f"].dataType, T.NumericType) else F.lit(0)
+    numbered = order.positions(first, bank, ["_f"], bucket).select(*bank, "_l", F.col("pos").alias("family"))
+    return order.join_on(members, numbered, [*bank, "_l"]).select(*bank, cid, "family")
 
 
 def selected_similarity(vectors: DataFrame, selected: DataFrame, bank: Sequence[str], cid: str, vector: str) -> DataFrame:

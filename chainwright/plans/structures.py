@@ -271,7 +271,7 @@ def bank(t):
 
 @query("st15_fold_families")
 def _(t):
-    return structure.fold_families(bank(t), ["target", "bank"], "id", "embedding", 0.15)
+    return structure.fold_families(bank(t), ["target"], "id", "embedding", 0.15)
 
 
 @query(

@@ -122,6 +122,17 @@ def exact_overlap(targets: DataFrame, corpus: DataFrame, tid: str, cid: str, sou
     return joined.select(tid, F.coalesce("matches", F.lit(0).cast("long")).alias("matches"), F.coalesce("sources", F.lit(0).cast("long")).alias("sources"), "first_id")
 
 
+def overlap_targets(targets: DataFrame, tid: str, seq: str) -> DataFrame:
+    """The digest of every target's sequence, NULL without one; ``overlap_matches`` has the entries of each digest."""
+    return targets.select(F.col(tid), F.sha2(F.col(seq), 256).alias("digest"))
+
+
+def overlap_matches(targets: DataFrame, corpus: DataFrame, cid: str, source: str, seq: str) -> DataFrame:
+    """One row per corpus entry whose exact sequence some target has, by digest, so copies are not multiplied by targets."""
+    digest = F.sha2(F.col(seq), 256).alias("digest")
+    return corpus.select(digest, cid, source).join(targets.select(digest).distinct(), "digest", "left_semi")
+
+
 def mention_audit(docs: DataFrame, ids: DataFrame, did: str, text: str, key: str, pattern: str) -> DataFrame:
     """Documents that mention each candidate id, with the decision.
 

@@ -43,6 +43,18 @@ def _(t):
     return text.exact_overlap(docs.withColumnRenamed("doc_id", "target"), docs, "target", "doc_id", "source", "seq")
 
 
+@query("jn03_overlap_targets", f"WITH {SEQS} SELECT doc_id AS target, sha256(seq) AS digest FROM seqs")
+def _(t):
+    return text.overlap_targets(sequences(t).withColumnRenamed("doc_id", "target"), "target", "seq")
+
+
+@query("jn03_overlap_matches", f"WITH {SEQS} SELECT sha256(seq) AS digest, doc_id, source FROM seqs WHERE seq IS NOT NULL")
+def _(t):
+    """All entries behind the counts of ``jn03_exact_overlap``, where every document is a target."""
+    docs = sequences(t)
+    return text.overlap_matches(docs, docs, "doc_id", "source", "seq")
+
+
 def _near_sql(coverage: str) -> str:
     return f"""WITH {SHARED}, s AS (SELECT item_id, shared / CAST(q_kmers AS DOUBLE) AS q, shared / CAST(t_kmers AS DOUBLE) AS t FROM sh JOIN nd USING (doc_id) JOIN nq USING (item_id)), g AS (SELECT item_id, count(*) AS hits, max(q) AS mq, max(t) AS mt FROM s WHERE q >= 0.8 AND t >= {coverage} GROUP BY 1)
  SELECT item_id, CAST(coalesce(hits, 0) AS BIGINT) AS hits, round(mq, 6) AS max_query_coverage, round(mt, 6) AS max_target_coverage, CASE WHEN hits > 0 THEN 'EXCLUDE' ELSE 'PASS' END AS status FROM benchmark LEFT JOIN g USING (item_id)"""
@@ -88,6 +100,17 @@ def _(t):
     return text.stem_counts(sequences(t), ["doc_id"], "seq")
 
 
+@query(
+    "jn15_stem_pairs",
+    f"""WITH {SEQS}, w AS (SELECT doc_id, i, c[i+1] || c[i+2] || c[i+3] AS word FROM (SELECT doc_id, c, unnest(range(0, len(c) - 2)) AS i FROM (SELECT doc_id, string_split(seq, '') AS c FROM seqs WHERE length(seq) >= 3))),
+ v AS (SELECT *, reverse(translate(word, 'ACGU', 'UGCA')) AS partner FROM w WHERE regexp_full_match(word, '[ACGU]{{3}}'))
+ SELECT a.doc_id, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.word = a.partner AND b.i >= a.i + 6""",
+)
+def _(t):
+    """The pairs that ``jn15_stems`` counts; they are as many as its column stems adds up to."""
+    return text.stems(sequences(t), ["doc_id"], "seq")
+
+
 CLUSTERS = f"""{SEQS}, lead AS (SELECT sha256(seq) AS d, min(doc_id) AS node, any_value(seq) AS seq FROM seqs GROUP BY 1), {km_sql('kl', 'node', 'lead')}, nl AS (SELECT node, count(*) AS n FROM kl GROUP BY 1),
  ed AS (SELECT a.node AS a, b.node AS b, count(*) AS s FROM kl a JOIN kl b ON a.kmer = b.kmer AND a.node < b.node GROUP BY 1, 2), eg AS (SELECT a, b FROM ed JOIN nl x ON x.node = a JOIN nl y ON y.node = b WHERE s >= 0.8 * x.n AND s >= 0.8 * y.n),
  bi AS (SELECT a AS u, b AS v FROM eg UNION SELECT b, a FROM eg), cc(node, lab) AS (SELECT node, node FROM lead UNION SELECT bi.v, cc.lab FROM cc JOIN bi ON bi.u = cc.node), lb AS (SELECT node, min(lab) AS cluster FROM cc GROUP BY 1)"""

@@ -5,7 +5,7 @@ if it holds all shingles of the window, so one necessary shingle, the rarest in
 candidates. A candidate fixes where the window would lie: it must begin at a word and end within the document, and the
 words there must equal the window's. Shingles are joined by 64-bit hash; the words decide.
 
-Distribution: shingles of a document are exploded and joined to the windows. While the number of distinct shingles of
+Distribution: shingles of a document are exploded, with only the words around them, and joined to the windows. While the number of distinct shingles of
 the benchmark stays below ``broadcast_keys`` (counted first) the windows are broadcast and no shingle is shuffled;
 beyond it the join is shuffled by shingle and adaptive execution splits hot shingles. Counts of shingles and hits of
 a document are combined before they are shuffled.
@@ -25,6 +25,8 @@ from chainwright.llm.common import hex_digest, lower_ascii
 WINDOW, SHINGLE = 10, 3
 #: Benchmarks of up to so many distinct shingles (about 100 bytes each) are broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Words of a text that travel, with a window's margin on both sides, beside each shingle that begins in them.
+BLOCK = 64
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -53,15 +55,38 @@ def windows(items: DataFrame) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, widths: list[int], *kept: str) -> DataFrame:
-    """One row for each shingle of each document: ``_h`` and its position ``_at``."""
-    work = docs.select(*kept, words(F.col("text")).alias("_w"))
-    parts = [work.select("*", F.posexplode(shingles(F.col("_w"), w)).alias("_at", "_h")) for w in widths]
+    """One row for each shingle of each document: ``_h``, its position ``_at`` and the number ``_n`` of words."""
+    work = docs.select(*kept, words(F.col("text")).alias("_w")).select("*", F.size("_w").alias("_n"))
+    parts = [work.select(*kept, "_n", F.posexplode(shingles(F.col("_w"), w)).alias("_at", "_h")) for w in widths]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _local_tokens(docs: DataFrame, widths: list[int], *kept: str) -> DataFrame:
+    """One row for each shingle: ``_h``, and its position ``_at`` in ``_w``, the words around it from word ``_from`` of the document on.
+
+    ``_w`` holds every window that the shingle can be part of, so its length does not depend on the text's.
+    """
+    work = docs.select(*kept, words(F.col("text")).alias("_all"))
+    cut = lambda o: F.struct(
+        o.alias("_o"), F.slice("_all", F.greatest(o - (WINDOW - 1), F.lit(0)) + 1, F.lit(BLOCK + 2 * (WINDOW - 1) + 1)).alias("_w")
+    )
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_all") - 1, F.lit(0)), F.lit(BLOCK))
+    blocks = work.select(*kept, F.inline(F.transform(starts, cut)))
+    blocks = blocks.select(*kept, "_w", F.greatest(F.col("_o") - (WINDOW - 1), F.lit(0)).alias("_from"), F.least(F.col("_o"), F.lit(WINDOW - 1)).alias("_own"))
+    out = None
+    for width in widths:
+        last = F.least(F.col("_own") + BLOCK, F.size("_w") - width + 1) - 1
+        places = F.sequence("_own", F.greatest(last, F.col("_own")))
+        held = F.when(last >= F.col("_own"), F.transform(places, lambda p: shingle(F.col("_w"), p, width))).otherwise(F.array().cast("array<bigint>"))
+        part = blocks.select(*kept, "_w", "_from", "_own", F.posexplode(held).alias("_i", "_h"))
+        part = part.select(*kept, "_w", "_from", (F.col("_own") + F.col("_i")).alias("_at"), "_h")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def prefixes(docs: DataFrame, items: DataFrame, broadcast_keys: int) -> tuple[DataFrame, list[int], bool]:
     """Every window with its rarest shingle ``_h`` at ``_off``; the widths in use; whether they may be broadcast."""
     cut = windows(items)
@@ -93,14 +118,15 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_keys: int) -> DataFram
     cut, widths, small = prefixes(docs, items.select("item_id", "text"), broadcast_keys)
     cut = cut.withColumnRenamed("_h", "_hw")
     begin, length = F.col("_at") - F.col("_off"), F.size("tokens")
-    tokens = _tokens(docs, widths or [SHINGLE], "_key", "_mark")
     if small:
+        tokens = _local_tokens(docs, widths or [SHINGLE], "_key", "_mark")
         same = F.slice("_w", begin + 1, length) == F.col("tokens")
         fits = F.when((begin >= 0) & (begin + length <= F.size("_w")), same).otherwise(False)
-        met = tokens.join(F.broadcast(cut), (F.col("_h") == F.col("_hw")) & fits).select("_key", "_mark", begin.alias("s"), (begin + length).alias("e"), "ids")
+        start = F.col("_from") + begin
+        met = tokens.join(F.broadcast(cut), (F.col("_h") == F.col("_hw")) & fits).select("_key", "_mark", start.alias("s"), (start + length).alias("e"), "ids")
     else:
         # shuffled shingles carry positions only; the words of a document meet its candidates once
-        held = tokens.select("_key", "_mark", "_at", "_h", F.size("_w").alias("_n"))
+        held = _tokens(docs, widths or [SHINGLE], "_key", "_mark")
         found = held.join(cut, (F.col("_h") == F.col("_hw")) & (begin >= 0) & (begin + length <= F.col("_n")))
         per = found.groupBy(F.col("_key").alias("_ck"), F.col("_mark").alias("_cm")).agg(F.collect_set(F.struct(begin.alias("s"), "tokens", "ids")).alias("_c"))
         both = per.join(docs.dropDuplicates(["_key", "_mark"]), F.col("_key").eqNullSafe(F.col("_ck")) & (F.col("_mark") == F.col("_cm")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import bpe, chat, decontaminate, jaccard, language, nearest, pii, quality, secrets, warc
+from chainwright.llm import bpe, chat, decontaminate, jaccard, language, nearest, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op12_packing": packing.op12_packing,
 }
 SQL = {
     "op1_pii": pii.SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainwright.llm import bpe, chat, decontaminate, jaccard, language, nearest, packing, pii, quality, secrets, warc
+from chainwright.llm import bpe, chat, decontaminate, jaccard, language, nearest, packing, phrases, pii, quality, secrets, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_whitening": whitening.op11_whitening,
     "op12_packing": packing.op12_packing,
+    "op13_phrases": phrases.op13_phrases,
 }
 SQL = {
     "op1_pii": pii.SQL,
@@ -23,4 +25,5 @@ SQL = {
     "op3_chat_formatting": chat.SQL,
     "op9_warc": warc.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op13_phrases": phrases.SQL,
 }

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chainwright.functions.sequence import kmers
 from chainwright.operators.topk import topn
@@ -246,104 +243,3 @@ def similarity_clusters(df: DataFrame, key: str, seq: str, k: int = 13, share: f
     final = _components(sets.select("node"), edges)
     named = sets.select("_d", "node").join(final, "node").select("_d", "label")
     return digest.select(key, "_d").join(named, "_d").select(key, F.col("label").alias("cluster"))
-
-
-# ---------------------------------------------------------------- alignment of blocked pairs
-
-
-def _align(a: str, b: str, match: float, mismatch: float, opening: float, extension: float, local: bool, free_ends: bool):
-    """Affine-gap score and aligned index pairs of one pair, one vectorised row of b at a time."""
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    n, m = len(x), len(y)
-    edge = lambda size: np.zeros(size + 1) if local or free_ends else np.concatenate([[0.0], opening + extension * np.arange(size)])
-    top, side = edge(m), edge(n)
-    best, up = top.copy(), np.full(m + 1, -np.inf)
-    step = extension * np.arange(m + 1)
-    choice = np.zeros((n + 1, m + 1), np.int8)  # 0 stop, 1 diagonal, 2 up, 3 left
-    widen = np.zeros((n + 1, m + 1), bool)  # the upward gap goes on
-    lengthen = np.zeros((n + 1, m + 1), bool)  # the gap to the left goes on
-    peak, at = 0.0, (0, 0)
-    for i in range(1, n + 1):
-        longer = up + extension
-        up = np.maximum(best + opening, longer)
-        widen[i] = longer >= best + opening
-        diagonal = np.concatenate([[-np.inf], best[:-1] + np.where(y == x[i - 1], match, mismatch)])
-        row = np.maximum(diagonal, up)
-        row[0] = side[i]
-        # A horizontal gap opened at k costs opening + extension * (j - k - 1).
-        reach = np.maximum.accumulate(row - step)
-        across = np.concatenate([[-np.inf], reach[:-1] + opening + step[1:] - extension])
-        lengthen[i, 1:] = reach[:-1] > (row - step)[:-1]
-        total = np.maximum(row, across)
-        choice[i] = np.where(across > row, 3, np.where(diagonal >= up, 1, 2))
-        if local:
-            choice[i][total <= 0] = 0
-            total = np.maximum(total, 0.0)
-            j = int(total.argmax())
-            if total[j] > peak:
-                peak, at = float(total[j]), (i, j)
-        choice[i][0] = 0
-        best = total
-        if free_ends and best[m] > (peak if i > 1 else -np.inf):
-            peak, at = float(best[m]), (i, m)
-    if free_ends:
-        j = int(best.argmax())
-        if best[j] >= peak or n == 0:
-            peak, at = float(best[j]), (n, j)
-    elif not local:
-        peak, at = float(best[m]), (n, m)
-    pairs, (i, j) = [], at
-    while i > 0 and j > 0 and choice[i, j]:
-        move = choice[i, j]
-        if move == 1:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif move == 2:
-            while i > 1 and widen[i, j]:
-                i -= 1
-            i -= 1
-        else:
-            while j > 1 and lengthen[i, j]:
-                j -= 1
-            j -= 1
-    return peak, pairs[::-1]
-
-
-def alignment_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Global and local scores of blocked pairs over twice the shorter length.
-
-    Alignment has no column-expression form; it runs in Arrow batches on pairs that
-    retrieval has already selected, never on a cross product.
-    """
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def scores(x: pd.Series, y: pd.Series) -> pd.Series:
-        scale = [2.0 * min(len(p), len(q)) for p, q in zip(x, y)]
-        modes = [[_align(p, q, 2.9, -1.0, -10.0, -0.5, local, False)[0] for local in (False, True)] for p, q in zip(x, y)]
-        return pd.Series([[v / s for v in m] if s else [0.0, 0.0] for m, s in zip(modes, scale)])
-
-    scored = pairs.withColumn("_s", scores(a, b))
-    return scored.withColumns({"global_score": F.get("_s", F.lit(0)), "local_score": F.get("_s", F.lit(1))}).drop("_s")
-
-
-def correspondence(pairs: DataFrame, query: str, template: str) -> DataFrame:
-    """Aligned positions (qpos, tpos) of blocked pairs: match 2, mismatch -1, gaps -6 / -0.5, free ends."""
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("qpos", T.IntegerType()), T.StructField("tpos", T.IntegerType())])))
-    def aligned(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([[{"qpos": i, "tpos": j} for i, j in _align(p, q, 2.0, -1.0, -6.0, -0.5, False, True)[1]] for p, q in zip(x, y)])
-
-    return pairs.withColumn("columns", aligned(query, template))
-
-
-def align_transfer(pairs: DataFrame, keys: Sequence[str], query: str, template: str) -> DataFrame:
-    """Identity over aligned columns and coverage of the query, from the exploded correspondence."""
-    rows = correspondence(pairs, query, template).withColumns({"_m": F.size("columns"), "_q": F.split(query, ""), "_t": F.split(template, "")})
-    same = F.size(F.filter("columns", lambda c: F.get("_q", c.qpos) == F.get("_t", c.tpos)))
-    return rows.select(*keys, F.col("_m").alias("aligned"), (same / F.nullif("_m", F.lit(0))).alias("identity"), (F.col("_m") / F.length(query)).alias("coverage"))
-
-
-def transfer_points(pairs: DataFrame, keys: Sequence[str], points: DataFrame, template_key: str, query: str, template: str) -> DataFrame:
-    """Template coordinates at the query positions they align to."""
-    columns = correspondence(pairs, query, template).select(*keys, F.inline("columns"))
-    return columns.join(points.withColumnRenamed("pos", "tpos"), [template_key, "tpos"]).select(*keys, F.col("qpos").alias("pos"), "x", "y", "z")

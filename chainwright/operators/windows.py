@@ -325,11 +325,14 @@ def spaced_sample(df: DataFrame, keys: Sequence[str], by: Sequence[str], bucket:
 
 
 def representatives(df: DataFrame, group: str, date: str, key: str) -> DataFrame:
-    """Newest member (smallest id on ties) of each duplicate group, for every member."""
-    # the newest has the smallest age, a missing date the largest
-    age = F.coalesce(-F.unix_date(F.col(date).cast("date")), F.lit(2**31 - 1)).alias("age")
-    chosen = df.groupBy(group).agg(F.min_by(key, F.struct(age, F.col(key))).alias("representative"), F.count(F.lit(1)).alias("members"))
-    return order.join_on(df, chosen, [group])
+    """Newest member (smallest id on ties) of each duplicate group, for every member.
+
+    ``date`` may be of any ordered type; a missing one is the oldest.
+    """
+    first = df.groupBy(group, date).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # max_by passes over missing dates; where all are missing there is one row
+    newest = F.coalesce(F.max_by("_first", date), F.min("_first")).alias("representative")
+    return order.join_on(df, first.groupBy(group).agg(newest, F.sum("_n").alias("members")), [group])
 
 
 def tertiles(df: DataFrame, value: str, key: str, groups: int = 3) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainwright.functions.sequence import normalize_seq
-from chainwright.operators import text, topk
+from chainwright.operators import alignment, text, topk
 from chainwright.plans.fixtures import SEQS, norm_sql, sequences
 from chainwright.plans.registry import query
 from chainwright.plans.summaries import rounded
+from chainwright.session import stash
 
 K = 13
 
@@ -131,12 +132,56 @@ def retrieved_pairs(t, most: int):
     return hits.join(items(t), "item_id").join(sequences(t).select("doc_id", F.col("seq").alias("entry_seq")), "doc_id")
 
 
+def template_points(t):
+    """A point for every letter of every document; every eleventh is unresolved."""
+    p = F.col("pos")
+    gone = F.pmod(F.col("doc_id") + p, F.lit(11)) == 0
+    at = {"x": (p % 97) * 1.5, "y": (p % 89) * 1.25, "z": p * 0.5}
+    letters = sequences(t).where(F.length("seq") > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1)).alias("pos"))
+    return letters.select("doc_id", "pos", *[F.when(~gone, v).alias(k) for k, v in at.items()])
+
+
 @query("sc11_alignment_score")
 def _(t):
-    scored = text.alignment_scores(retrieved_pairs(t, GATED), "seq", "entry_seq")
+    scored = alignment.alignment_scores(retrieved_pairs(t, GATED), "seq", "entry_seq")
     return rounded(scored.select("item_id", "doc_id", "global_score", "local_score"), "global_score", "local_score")
 
 
+def transferred(t, setting: str):
+    """Alignments of the retrieved pairs, and the coordinates that they bring."""
+    aligned = stash(alignment.correspondence(retrieved_pairs(t, GATED), "seq", "entry_seq", setting).drop("entry_seq", "text"), "aligned")
+    points = template_points(t).join(aligned.select("doc_id").distinct(), "doc_id", "left_semi")
+    return aligned, points, alignment.transfer_points(aligned, ["item_id", "doc_id"], points, "doc_id")
+
+
 @query("sc12_align_transfer")
 def _(t):
-    return rounded(text.align_transfer(retrieved_pairs(t, GATED), ["item_id", "doc_id"], "seq", "entry_seq"), "identity", "coverage")
+    aligned, points, moved = transferred(t, "transfer")
+    return rounded(alignment.transfer_summary(aligned, moved, ["item_id", "doc_id"], points, "seq", "doc_id"), "identity", "coverage", "completeness")
+
+
+@query("sc12_transferred_points")
+def _(t):
+    """The coordinates themselves, by the second setting, which penalises gaps at the ends."""
+    return transferred(t, "adapt")[2]
+
+
+def candidate_inputs(t):
+    """Items ask, documents answer: a cutoff per item, a date, a family and an entity per document."""
+    queries = items(t).select(F.col("item_id").alias("query"), "seq", F.date_add(F.lit("2020-03-01").cast("date"), (F.col("item_id") * 7 % 300).cast("int")).alias("cutoff"), (F.col("item_id") % 7).alias("own"))
+    library = sequences(t).select(
+        F.col("doc_id").alias("entry"), "seq", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("released"),
+        (F.col("doc_id") % 11).alias("family"), (F.col("doc_id") % 97).alias("entity"),
+    )
+    return queries, library.where("seq <> ''"), template_points(t).withColumnRenamed("doc_id", "entry")
+
+
+@query("tk16_tbm_candidates")
+def _(t):
+    chosen, _moved = alignment.build_candidates(*candidate_inputs(t))
+    return rounded(chosen, "identity", "coverage", "completeness", "confidence")
+
+
+@query("tk16_tbm_points")
+def _(t):
+    return rounded(alignment.candidate_points(*alignment.build_candidates(*candidate_inputs(t))), "x", "y", "z", "confidence")

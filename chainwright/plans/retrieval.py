@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chainwright.functions import sequence as S
 from chainwright.operators import joins, sets, text, topk
 from chainwright.plans.fixtures import PANEL, PTS, SEQS, norm_sql, panel, sequences, structure_points
-from chainwright.plans.registry import SQL, query
+from chainwright.plans.registry import query
 
 # ------------------------------------------------------------------ queries x library on orders
 
@@ -107,15 +107,12 @@ def _(t):
     return topk.round_robin(panel(t), ["target"], "setting", "score", "candidate", "R", 5).select("target", "setting", "candidate", "rank")
 
 
-_TD = """td AS (SELECT target, CASE WHEN setting = 'A' THEN 'D' ELSE 'T' END AS source, candidate*10 + ascii(setting)%10 AS id, score FROM panel WHERE NOT (setting = 'A' AND candidate > target % 4))"""
+_TD = """td AS (SELECT target, CASE WHEN setting = 'A' THEN 'D' ELSE 'T' END AS source, candidate*10 + ascii(setting)%10 AS id, score FROM panel)"""
 
 
 def _td(t):
-    return (
-        panel(t)
-        .where(~((F.col("setting") == "A") & (F.col("candidate") > F.col("target") % 4)))
-        .select("target", F.when(F.col("setting") == "A", "D").otherwise("T").alias("source"), (F.col("candidate") * 10 + F.ascii("setting") % 10).alias("id"), "score")
-    )
+    source = F.when(F.col("setting") == "A", "D").otherwise("T").alias("source")
+    return panel(t).select("target", source, (F.col("candidate") * 10 + F.ascii("setting") % 10).alias("id"), "score")
 
 
 @query(
@@ -131,22 +128,6 @@ def _(t):
     )
 
 
-#: The same sources with every row of setting A.
-_TD_PANEL = """td AS (SELECT target, CASE WHEN setting = 'A' THEN 'D' ELSE 'T' END AS source, candidate*10 + ascii(setting)%10 AS id, score FROM panel)"""
-
-
-def _td_panel(t):
-    source = F.when(F.col("setting") == "A", "D").otherwise("T").alias("source")
-    return panel(t).select("target", source, (F.col("candidate") * 10 + F.ascii("setting") % 10).alias("id"), "score")
-
-
-@query("tk08_allocate_panel", SQL["tk08_allocate"].replace(_TD, _TD_PANEL))
-def _(t):
-    return topk.allocate(_td_panel(t), ["target"], "source", "score", "id", 3, 2).select(
-        "target", "source", "id", "source_rank", "realized_t", "realized_d", "complete"
-    )
-
-
 @query(
     "tk10_lock_reference",
     f"""WITH {PANEL}, k AS (SELECT target, candidate FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) AS r FROM panel WHERE setting = 'N') WHERE r = 1)
@@ -185,12 +166,6 @@ def _(t):
     return topk.pad_bank(bank, ["target"], "rank", "id", 5)
 
 
-@query("tk13_pad_bank_panel", SQL["tk13_pad_bank"].replace(_TD, _TD_PANEL))
-def _(t):
-    bank = topk.topn(_td_panel(t).where(F.col("source") == "D"), ["target"], [F.desc("score"), F.col("id")], 5, rank="rank")
-    return topk.pad_bank(bank, ["target"], "rank", "id", 5)
-
-
 @query(
     "tk14_route",
     """WITH v AS (SELECT event_id, event_id % 40 AS i, CASE WHEN user_id % 5 = 0 THEN 12 ELSE 30 END AS total, value AS el, event_type <> 'error' AS av FROM events), w AS (SELECT *, i BETWEEN CASE WHEN total > 15 THEN 14 ELSE 0 END AND CASE WHEN total > 15 THEN total - 1 ELSE 0 END AND el < 80 AS want FROM v)
@@ -239,22 +214,6 @@ def _(t):
 
 @query(
     "tk16_build_candidates",
-    f"""WITH {SCORED}, hits AS (SELECT query, entry, entity, score * 0.9 AS score, 1 AS prio FROM scored WHERE entry % 3 = 0), comp AS (SELECT query, entry, entity, score, 2 AS prio FROM scored WHERE entry % 2 = 0),
- u AS (SELECT * FROM hits UNION ALL SELECT * FROM comp), d AS (SELECT *, row_number() OVER (PARTITION BY query, entry ORDER BY prio) AS k FROM u), e AS (SELECT *, row_number() OVER (PARTITION BY query, entity ORDER BY score DESC, entry) AS e FROM d WHERE k = 1)
- SELECT query, entry, entity, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY e > 1, score DESC, entry) AS rank FROM e) WHERE rank <= 5""",
-)
-def _(t):
-    pairs = scored_pairs(t)
-    hits = pairs.where(F.col("entry") % 3 == 0).withColumn("score", F.col("score") * 0.9).select("query", "entry", "entity", "score")
-    scan = pairs.where(F.col("entry") % 2 == 0).select("query", "entry", "entity", "score")
-    merged = sets.union_dedup([hits, scan], ["query", "entry"])
-    return topk.distinct_topn(merged, ["query"], "entity", "score", "entry", 5).select(
-        "query", "entry", "entity", F.round("score", 6).alias("score"), "rank"
-    )
-
-
-@query(
-    "tk16_candidates_all_ids",
     f"""WITH {SCORED}, hits AS (SELECT query, entry, entity, score * 0.9 AS score, 1 AS prio FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY length DESC, entry) AS h FROM scored) WHERE h <= 40),
  comp AS (SELECT query, entry, entity, score, 2 AS prio FROM scored), u AS (SELECT * FROM hits UNION ALL SELECT * FROM comp),
  d AS (SELECT *, row_number() OVER (PARTITION BY query, entry ORDER BY prio) AS k FROM u), e AS (SELECT *, row_number() OVER (PARTITION BY query, entity ORDER BY score DESC, entry) AS e FROM d WHERE k = 1)

@@ -168,3 +168,115 @@ def with_rmsd(df, name: str = "rmsd", least: int = 3):
 
     square = let(covariance, gram) / n
     return df.withColumn(name, F.when(n >= least, F.sqrt(F.greatest(square, F.lit(0.0)))))
+
+
+# ---------------------------------------------------------------- rotation
+
+#: Newton steps to the largest root; it is reached from above, at worst by half the way a step.
+ROOT_STEPS = 60
+#: Share below which the largest cofactor counts as zero: the points of one side lie on a line, or do not spread at all.
+LINE = 1e-10
+_QUAD = "wxyz"
+
+
+def _entry(a: str, b: str) -> str:
+    return a + b if _QUAD.index(a) <= _QUAD.index(b) else b + a
+
+
+def cofactor(m, a: str, b: str):
+    """Signed minor of a symmetric 4x4 matrix, whose entries ``m`` gives by their two names."""
+    rows, cols = [x for x in _QUAD if x != a], [x for x in _QUAD if x != b]
+    at = lambda i, j: m(_entry(rows[i], cols[j]))
+    minor = (
+        at(0, 0) * (at(1, 1) * at(2, 2) - at(1, 2) * at(2, 1))
+        - at(0, 1) * (at(1, 0) * at(2, 2) - at(1, 2) * at(2, 0))
+        + at(0, 2) * (at(1, 0) * at(2, 1) - at(1, 1) * at(2, 0))
+    )
+    return minor if (_QUAD.index(a) + _QUAD.index(b)) % 2 == 0 else -minor
+
+
+def with_rotation(df, name: str = "rigid"):
+    """Best proper rotation and shift of p onto q from the sums of ``pair_statistics``: nine numbers by row, then three.
+
+    The rotation is the unit quaternion at the largest eigenvalue of a symmetric 4x4 matrix of the cross-covariance.  The eigenvalue is
+    found by Newton steps from an upper bound, the quaternion is the longest column of the adjugate of what is left.  Points on a line leave a
+    turn about it open; the smallest turn is taken.
+    """
+    n = F.greatest(F.col("n"), F.lit(1)).cast("double")
+    covariance = {a + b: F.col(f"h{a}{b}") - F.col(f"p{a}") * F.col(f"q{b}") / n for a in AXES for b in AXES}
+    pairs = [a + b for i, a in enumerate(_QUAD) for b in _QUAD[i:]]
+
+    def matrix(c):
+        values = {
+            "ww": c["xx"] + c["yy"] + c["zz"], "wx": c["yz"] - c["zy"], "wy": c["zx"] - c["xz"], "wz": c["xy"] - c["yx"],
+            "xx": c["xx"] - c["yy"] - c["zz"], "xy": c["xy"] + c["yx"], "xz": c["zx"] + c["xz"],
+            "yy": c["yy"] - c["xx"] - c["zz"], "yz": c["yz"] + c["zy"], "zz": c["zz"] - c["xx"] - c["yy"],
+        }
+        values["size"] = sum((c[a + b] * c[a + b] for a in AXES for b in AXES), F.lit(0.0))
+        values["det"] = (
+            c["xx"] * (c["yy"] * c["zz"] - c["yz"] * c["zy"])
+            - c["xy"] * (c["yx"] * c["zz"] - c["yz"] * c["zx"])
+            + c["xz"] * (c["yx"] * c["zy"] - c["yy"] * c["zx"])
+        )
+        values |= {f"s{a}{b}": c[a + b] for a in AXES for b in AXES if a <= b}
+        return let(values, root)
+
+    def root(m):
+        last = sum((m[_entry("w", x)] * cofactor(lambda k: m[k], "w", x) for x in _QUAD), F.lit(0.0))
+
+        def climb(v):
+            def step(at, _):
+                slope = at * (at * at * 4 - m["size"] * 4) - m["det"] * 8
+                value = at * (at * (at * at - m["size"] * 2) - m["det"] * 8) + v["last"]
+                return F.when(slope > 0, at - value / slope).otherwise(at)
+
+            top = F.aggregate(F.sequence(F.lit(1), F.lit(ROOT_STEPS)), F.sqrt(m["size"] * 3), step)
+            kept = {k: m[k] for k in ("size", "sxx", "sxy", "sxz", "syy", "syz", "szz", "ww", "wx", "wy", "wz")}
+            return let({f"m{k}": m[k] for k in pairs} | kept | {"top": top}, less)
+
+        return let({"last": last}, climb)
+
+    def less(v):
+        of = {f"m{k}": v[f"m{k}"] - v["top"] if k[0] == k[1] else v[f"m{k}"] for k in pairs}
+        return let(of | {k: v[k] for k in ("size", "sxx", "sxy", "sxz", "syy", "syz", "szz", "ww", "wx", "wy", "wz")}, columns)
+
+    def columns(v):
+        c = {f"c{k}": cofactor(lambda e: v[f"m{e}"], k[0], k[1]) for k in pairs}
+        return let(c | {k: v[k] for k in ("size", "sxx", "sxy", "sxz", "syy", "syz", "szz", "ww", "wx", "wy", "wz")}, choose)
+
+    def choose(v):
+        size = F.sqrt(v["size"])
+        largest = F.greatest(*[F.abs(v["c" + 2 * k]) for k in _QUAD])
+        column = lambda k: F.array(*[v["c" + _entry(k, x)] for x in _QUAD])
+        # p and q on lines: half way from one direction to the other; opposite ones turn about an axis across
+        half = F.array(size + v["ww"], v["wx"], v["wy"], v["wz"])
+        across = {
+            "x": F.array(F.lit(0.0), size + v["sxx"], v["sxy"], v["sxz"]),
+            "y": F.array(F.lit(0.0), v["sxy"], size + v["syy"], v["syz"]),
+            "z": F.array(F.lit(0.0), v["sxz"], v["syz"], size + v["szz"]),
+        }
+        least = F.least(*[F.abs(v[f"s{a}{a}"]) for a in AXES])
+        turned = F.when(F.abs(v["sxx"]) == least, across["x"]).when(F.abs(v["syy"]) == least, across["y"]).otherwise(across["z"])
+        line = F.when(size + v["ww"] > size * 1e-9, half).otherwise(turned)
+        picked = F.when(v["size"] <= 0, F.array(*[F.lit(float(k == "w")) for k in _QUAD])).when(largest <= v["size"] * size * LINE, line)
+        for k in _QUAD[:-1]:
+            picked = picked.when(F.abs(v["c" + 2 * k]) == largest, column(k))
+        return let({"c": picked.otherwise(column("z"))}, unit)
+
+    def unit(v):
+        c = [F.get(v["c"], F.lit(i)) for i in range(4)]
+        length = F.sqrt(sum((x * x for x in c), F.lit(0.0)))
+        return let({k: x / length for k, x in zip(_QUAD, c)}, turn)
+
+    def turn(v):
+        w, x, y, z = (v[k] for k in _QUAD)
+        return F.array(
+            w * w + x * x - y * y - z * z, (x * y - w * z) * 2, (x * z + w * y) * 2,
+            (x * y + w * z) * 2, w * w - x * x + y * y - z * z, (y * z - w * x) * 2,
+            (x * z - w * y) * 2, (y * z + w * x) * 2, w * w - x * x - y * y + z * z,
+        )
+
+    turned = df.withColumn(name, let(covariance, matrix))
+    r = lambda i, j: F.get(name, F.lit(3 * i + j))
+    shift = [(F.col(f"q{a}") - sum((r(i, j) * F.col(f"p{b}") for j, b in enumerate(AXES)), F.lit(0.0))) / n for i, a in enumerate(AXES)]
+    return turned.withColumn(name, F.concat(F.col(name), F.array(*shift)))

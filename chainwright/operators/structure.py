@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,29 +116,13 @@ def drift(refined: DataFrame, raw: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- superposition
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _rigid(n: pd.Series, p: pd.Series, q: pd.Series, h: pd.Series) -> pd.Series:
-    """Best proper rotation and shift of p onto q for a batch of sums (row-major R, then t)."""
-    count = np.maximum(n.to_numpy(float), 1.0)
-    sp, sq = np.stack(p.to_numpy()), np.stack(q.to_numpy())
-    cov = np.stack(h.to_numpy()).reshape(-1, 3, 3) - np.einsum("ni,nj->nij", sp, sq) / count[:, None, None]
-    u, _, vt = np.linalg.svd(cov)
-    sign = np.sign(np.linalg.det(np.einsum("nij,njk->nik", vt.transpose(0, 2, 1), u.transpose(0, 2, 1))))
-    vt[:, 2, :] *= np.where(sign == 0, 1.0, sign)[:, None]
-    rotation = np.einsum("nji,nkj->nik", vt, u)
-    shift = sq / count[:, None] - np.einsum("nij,nj->ni", rotation, sp / count[:, None])
-    return pd.Series(list(np.concatenate([rotation.reshape(-1, 9), shift], axis=1)))
-
-
 def fit(pairs: DataFrame, keys: Sequence[str], active: Column | None = None) -> DataFrame:
     """Attach aligned points ax..az of the moving structure; NULL below three shared points."""
     use = active if active is not None else F.lit(True)
     p = tuple(F.when(use, c) for c in _p())
     sums = V.pair_statistics(p, _q())
     totals = pairs.groupBy(*keys).agg(*[F.coalesce(c, F.lit(0.0)).alias(k) if k != "n" else c.alias("n") for k, c in sums.items()])
-    solved = totals.where(F.col("n") >= 3).select(
-        *keys, F.col("n").alias("fitted"), _rigid("n", F.array(*[f"p{a}" for a in "xyz"]), F.array(*[f"q{a}" for a in "xyz"]), F.array(*[f"h{a}{b}" for a in "xyz" for b in "xyz"])).alias("_m")
-    )
+    solved = V.with_rotation(totals.where(F.col("n") >= 3), "_m").select(*keys, F.col("n").alias("fitted"), "_m")
     m = lambda i: F.get("_m", F.lit(i))
     rotated = [sum((m(3 * r + c) * _p()[c] for c in range(3)), m(9 + r)).alias(f"a{'xyz'[r]}") for r in range(3)]
     joined = pairs.join(solved, list(keys), "left")

@@ -12,6 +12,7 @@ from chainwright.plans.fixtures import (
     CHAIN, DENSE, PAIRS, PANEL, PTS, dense_points, event_chain, panel, reference_pairs, structure_points,
 )
 from chainwright.plans.registry import query
+from chainwright.plans.rotation import ALIGNED, BLEND, DISAGREEMENT, SUMMARY, examples_sql, heuristic_sql, selective_sql, tm_sql
 from chainwright.plans.summaries import rounded
 from chainwright.session import durable
 
@@ -173,17 +174,23 @@ def aligned_sources(t):
     return structure.robust_superpose(anchored, ["structure"], "anchor")
 
 
-@query("st07_robust_superpose")
+@query("st07_robust_superpose", f"WITH {ALIGNED} SELECT structure, round(alignment_rmsd, 6) AS alignment_rmsd, round(inlier_fraction, 6) AS inlier_fraction FROM (SELECT structure, {SUMMARY} FROM al GROUP BY 1)")
 def _(t):
     return rounded(structure.superposition_summary(aligned_sources(t), ["structure"]), "alignment_rmsd", "inlier_fraction")
 
 
-@query("st18_tm_fixed")
+@query("st18_tm_fixed", tm_sql(PAIRS))
 def _(t):
     return rounded(structure.tm_fixed(reference_pairs(t), ["target", "structure"]), "tm")
 
 
-@query("gv10_failures")
+_SOME = PAIRS.replace("pairs AS (", "pairs AS (SELECT * FROM (") + " WHERE p.structure % 10 <> p.pos AND (p.structure % 50 <> 7 OR p.pos < 3)))"
+
+
+@query(
+    "gv10_failures",
+    f"""WITH {_SOME}, {CENTRED}, {RMSD} SELECT target, structure, round(coalesce(rmsd, 0), 6) AS rmsd, rmsd IS NULL AS failed, CASE WHEN rmsd IS NULL THEN 'score' END AS scope, CASE WHEN rmsd IS NULL THEN 'fewer than three shared points' END AS reason FROM rm""",
+)
 def _(t):
     scores = structure.rmsd(reference_pairs(t).where(F.col("structure") % 10 != F.col("pos")).where((F.col("structure") % 50 != 7) | (F.col("pos") < 3)), ["target", "structure"])
     kept, failures = structure.score_or_default(scores, ["target", "structure"], "rmsd")
@@ -211,31 +218,35 @@ def _(t):
     return rounded(structure.geometry_nll(angles, ["structure"], angle, torsion), "angle_nll", "torsion_nll", "pair_like_fraction")
 
 
-@query("st08_disagreement")
+@query(
+    "st08_disagreement",
+    f"""WITH {DISAGREEMENT} SELECT structure, round(mean_point, 6) AS mean_point, round(mean_window, 6) AS mean_window, round(p90, 6) AS p90, round(alignment_rmsd, 6) AS alignment_rmsd, round(inlier_fraction, 6) AS inlier_fraction
+ FROM (SELECT structure, avg(residual) AS mean_point, avg(window_disagreement) AS mean_window, quantile_cont(window_disagreement, 0.9) AS p90, {SUMMARY} FROM dis GROUP BY 1)""",
+)
 def _(t):
     rows = structure.disagreement(aligned_sources(t), ["structure"])
     return rounded(structure.disagreement_summary(rows, ["structure"]), "mean_point", "mean_window", "p90", "alignment_rmsd", "inlier_fraction")
 
 
-@query("st10_blend_conservative")
+@query("st10_blend_conservative", heuristic_sql("conservative"))
 def _(t):
     return rounded(structure.blend_heuristic(aligned_sources(t), ["structure"]).select("structure", "pos", "alpha", "x", "y", "z", "confidence"), "alpha", "x", "y", "z", "confidence")
 
 
-@query("st10_blend_partner_heavy")
+@query("st10_blend_partner_heavy", heuristic_sql("heavy"))
 def _(t):
     rows = structure.blend_heuristic(aligned_sources(t), ["structure"], mode="heavy")
     return rounded(rows.select("structure", "pos", "alpha", "x", "y", "z", "confidence"), "alpha", "x", "y", "z", "confidence")
 
 
-@query("st11_blend_selective")
+@query("st11_blend_selective", selective_sql())
 def _(t):
     rows = structure.disagreement(aligned_sources(t), ["structure"]).withColumn("probability", F.when((F.col("pos") + F.col("structure")) % 13 < 9, 0.9).otherwise(0.3))
     blended = structure.blend_selective(rows, ["structure"], "probability", 0.5, high=40.0)
     return rounded(blended.select("structure", "pos", "alpha", "x", "y", "z", "confidence"), "alpha", "x", "y", "z", "confidence")
 
 
-@query("st12_blend_oracle")
+@query("st12_blend_oracle", f"WITH {ALIGNED}, bl AS (SELECT *, CASE WHEN p_conf > t_conf THEN CAST(1 AS DOUBLE) ELSE 0 END AS alpha FROM al) " + BLEND.format("bl"))
 def _(t):
     blended = structure.blend_oracle(aligned_sources(t), F.col("p_conf") > F.col("t_conf"))
     return rounded(blended.select("structure", "pos", "alpha", "x", "y", "z", "confidence"), "alpha", "x", "y", "z", "confidence")
@@ -248,7 +259,7 @@ def _(t):
     return rounded(features, *[c for c in features.columns if c not in ("structure", "pos")])
 
 
-@query("st14_make_examples")
+@query("st14_make_examples", examples_sql())
 def _(t):
     """Sources: each structure and its successor; natives: the two lowest ids of the target."""
     points = dense_points(t)

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: adaptive multi-match prefixes, exact links, connected classes.
 
-Two sets link when their Jaccard similarity is 0.9 or more. A linked set misses at most ``n - ceil(0.9 n)`` tokens of a set of
-n, so of the first ``n - ceil(0.9 n) + l`` tokens in one global order, rarest first, the two share at least l. Each document takes its
+Two sets of ``width``-word shingles link when their Jaccard similarity is ``percent`` or more, here 0.9. A linked set misses at most
+``n - ceil(0.9 n)`` tokens of a set of n, so of the first ``n - ceil(0.9 n) + l`` tokens in one global order, rarest first, the two share at least l. Each document takes its
 own l by the estimated cost of its candidates; a pair must share the smaller of the two.
 
 1. Frequencies: each task adds up shingles in ``SLOTS`` counters; their sum orders tokens by frequency class and then by hash.
@@ -55,14 +55,14 @@ BROADCAST_COUNTS = 20_000
 BATCH_CHARS = 2_000_000
 
 
-def frequencies(docs: DataFrame, text: str) -> np.ndarray:
+def frequencies(docs: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
     """Sums of shingles by slot over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
             for a, z in slices(sizes_of(b.column(0)), BATCH_CHARS):
-                hashes, _ = shingle_sets([x or "" for x in b.column(0).slice(a, z - a).to_pylist()], WIDTH)
+                hashes, _ = shingle_sets([x or "" for x in b.column(0).slice(a, z - a).to_pylist()], width)
                 total += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
@@ -80,10 +80,10 @@ def _classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.floor(np.log2(excess + 1)).astype(np.int64), excess
 
 
-def prefix_of(tokens: np.ndarray, level: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix_of(tokens: np.ndarray, level: np.ndarray, excess: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The prefix of one set and the matches it asks for."""
     n = len(tokens)
-    need = -(-PERCENT * n // 100)
+    need = -(-percent * n // 100)
     slot = (tokens & np.uint64(SLOTS - 1)).astype(np.int64)
     order = np.lexsort((tokens, level[slot]))
     cost = excess[slot[order[: n - need + 1]]].mean()
@@ -91,17 +91,17 @@ def prefix_of(tokens: np.ndarray, level: np.ndarray, excess: np.ndarray) -> tupl
     return tokens[order[: n - need + matches]], matches
 
 
-def sketch(docs: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
+def sketch(docs: DataFrame, text: str, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Add ``_n`` (set size), ``_c`` (128-bit key of the set, null if empty), ``_prefix``, ``_matches`` and ``_hist``, the tokens by ``BINS``."""
     level, excess = _classes_of(counts)
     fields = [T.StructField("_n", T.LongType()), T.StructField("_c", T.BinaryType()), T.StructField("_prefix", T.ArrayType(T.LongType())), T.StructField("_matches", T.IntegerType()), T.StructField("_hist", T.ArrayType(T.ShortType()))]
 
     def work(values: pa.Array) -> list[pa.Array]:
-        hashes, at = shingle_sets([x or "" for x in values.to_pylist()], WIDTH)
+        hashes, at = shingle_sets([x or "" for x in values.to_pylist()], width)
         size = np.diff(at)
         keys, prefixes, matches = _keys(hashes, at), [], []
         for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            got, m = prefix_of(hashes[a:z], level, excess) if z > a else (hashes[:0], 0)
+            got, m = prefix_of(hashes[a:z], level, excess, percent) if z > a else (hashes[:0], 0)
             prefixes.append(got.view(np.int64))
             matches.append(m)
         flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
@@ -131,13 +131,13 @@ def _near(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _links(a: Column, b: Column, shared: Column) -> Column:
-    return 100 * shared >= PERCENT * (a + b - shared)
+def _links(a: Column, b: Column, shared: Column, percent: int) -> Column:
+    return 100 * shared >= percent * (a + b - shared)
 
 
-def _may(a: Column, b: Column) -> Column:
+def _may(a: Column, b: Column, percent: int) -> Column:
     """Whether sizes allow a link."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _pivots(buckets: DataFrame, many: int) -> DataFrame:
     return stash(ranked.withColumn("_p", place).where(F.col("_p") <= many).select("c").distinct(), "pivots")
 
 
-def _candidates(buckets: DataFrame, pivots: DataFrame | None) -> DataFrame:
+def _candidates(buckets: DataFrame, pivots: DataFrame | None, percent: int) -> DataFrame:
     """Pairs (``a`` pivot, ``b``) of different components that may link; without pivots every member is one.
 
     The shared tokens of two prefixes are counted. Up to the end of the prefix that ends first they are all that the two share, and
@@ -191,32 +191,32 @@ def _candidates(buckets: DataFrame, pivots: DataFrame | None) -> DataFrame:
     """
     mine = buckets if pivots is None else buckets.join(_near(pivots), "c", "left_semi")
     mine = mine.select("t", *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "m", "i", "r", "p", "g")])
-    fits = _may(F.col("a_n"), F.col("n")) & (F.col("a_g") != F.col("g"))
+    fits = _may(F.col("a_n"), F.col("n"), percent) & (F.col("a_g") != F.col("g"))
     if pivots is None:
         fits &= F.col("a_c") < F.col("c")
-    fits &= (100 + PERCENT) * F.least("a_r", "r") >= PERCENT * (F.col("a_n") + F.col("n"))
+    fits &= (100 + percent) * F.least("a_r", "r") >= percent * (F.col("a_n") + F.col("n"))
     met = buckets.join(mine, [buckets["t"] == mine["t"], fits])
     one = lambda x: F.first(x).alias(x)
     seen = met.groupBy(F.col("a_c").alias("a"), F.col("c").alias("b")).agg(
         F.count(F.lit(1)).alias("s"), F.max("a_i").alias("a_i"), F.max("i").alias("i"), *[one(x) for x in ("a_n", "n", "a_m", "m", "a_r", "r", "a_p", "p")]
     )
     rest = F.greatest(F.least(F.expr("a_r - a_p"), F.expr("r - i - 1")), F.least(F.expr("a_r - a_i - 1"), F.expr("r - p")))
-    enough = (100 + PERCENT) * (F.col("s") + rest) >= PERCENT * (F.col("a_n") + F.col("n"))
+    enough = (100 + percent) * (F.col("s") + rest) >= percent * (F.col("a_n") + F.col("n"))
     return seen.where(enough & (F.col("s") >= F.least("a_m", "m"))).select("a", "b")
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose token counts by bin leave room for a link: two sets share at most the smaller count of each bin."""
     pairs = stash(pairs, "pairs")
     right = classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("hist").alias("h_b")).join(_near(pairs), "b")
     heads = stash(classes.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi").select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("hist").alias("h_a")), "heads")
     smaller = F.zip_with("h_a", "h_b", lambda x, y: F.when((x >= FULL) & (y >= FULL), F.lit(1 << 30)).otherwise(F.least(x, y).cast("int")))
     most = F.aggregate(smaller, F.lit(0).cast("long"), lambda t, x: t + x)
-    room = (100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    room = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
     return stash(right.join(_near(heads, BROADCAST_COUNTS), "a").where(room).select("a", "b"), "bounded")
 
 
-def _with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+def _with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
     """``wanted`` (``rep``, ``c``, more) with ``n`` and ``s``, the whole set of the class ``c``, made anew from a text.
 
     The wanted rows meet the documents where they are read, so texts are not shuffled while they can be broadcast.
@@ -227,28 +227,28 @@ def _with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataF
     rows = rows.join(_near(wanted), F.col("_id").eqNullSafe(F.col("rep"))).select(*kept, "_text")
 
     def work(values: pa.Array) -> list[pa.Array]:
-        hashes, at = shingle_sets([x or "" for x in values.to_pylist()], WIDTH)
+        hashes, at = shingle_sets([x or "" for x in values.to_pylist()], width)
         return [_keys(hashes, at), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))]
 
     made = append(rows, "_text", [T.StructField("_of", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))], work, BATCH_CHARS)
     return made.where(F.col("_of") == F.col("c")).select(*kept, F.size("s").cast("long").alias("n"), "s")
 
 
-def _sets(docs: DataFrame, key: str, text: str, reps: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, key: str, text: str, reps: DataFrame, width: int) -> DataFrame:
     """``c``, ``n`` and ``s`` of the classes in ``reps``."""
-    made = stash(_with_sets(docs, key, text, reps.select("rep", "c")), "sets")
+    made = stash(_with_sets(docs, key, text, reps.select("rep", "c"), width), "sets")
     # only repeated rows of one id give a class twice
     return made if made.count() == made.select("c").distinct().count() else stash(made.dropDuplicates(["c"]), "sets")
 
 
-def _linking(members: DataFrame, pivots: DataFrame) -> DataFrame:
+def _linking(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) whose whole sets link, from (``a``, ``c``, ``n``, ``s``) and (``c``, ``n``, ``s``)."""
     left = pivots.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
     both = members.join(left, "a")
-    return both.where(_links(F.col("n_a"), F.col("n"), F.size(F.array_intersect("s_a", "s")))).select("a", F.col("c").alias("b")).distinct()
+    return both.where(_links(F.col("n_a"), F.col("n"), F.size(F.array_intersect("s_a", "s")), percent)).select("a", F.col("c").alias("b")).distinct()
 
 
-def _peeled(tokens: DataFrame) -> DataFrame:
+def _peeled(tokens: DataFrame, percent: int) -> DataFrame:
     """Postings of the shared tokens of open sets (``c``, ``n``, ``t``), with ``r`` the number of shared ones.
 
     Sets that lack the shared tokens for any link leave, which may leave more tokens alone, until none does.
@@ -260,7 +260,7 @@ def _peeled(tokens: DataFrame) -> DataFrame:
         held = stash(here.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "held")
         shared = stash(here.join(_near(held), "t"), "shared")
         left = shared.groupBy("c", "n").agg(F.count(F.lit(1)).alias("left"))
-        now = stash(left.where(100 * F.col("left") >= PERCENT * F.col("n")), "alive")
+        now = stash(left.where(100 * F.col("left") >= percent * F.col("n")), "alive")
         before = sets.count() if alive is None else alive.count()
         alive = now
         if now.count() == before:
@@ -268,16 +268,16 @@ def _peeled(tokens: DataFrame) -> DataFrame:
     # prefixes among the shared tokens, rarest first; the missing ones are already used up
     ordered = F.array_sort(F.collect_list(F.struct("k", "t")))
     again = shared.join(_near(now.select("c", "left")), "c").groupBy("c", "n", "left").agg(ordered.alias("_o"))
-    missing = F.col("left") - F.ceil(F.col("n") * PERCENT / F.lit(100)).cast("long")
+    missing = F.col("left") - F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     again = again.withColumn("_p", F.slice("_o", 1, (missing + 1).cast("int")))
     return again.select("c", "n", F.lit(1).alias("m"), F.col("left").alias("r"), F.size("_p").alias("p"), F.posexplode("_p.t").alias("i", "t"))
 
 
-def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
+def linked(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``_id``, ``_mark`` (digest of the text), ``_n``, ``_g`` (key of the component, null for an empty set) and ``component`` of every row."""
-    counts = frequencies(docs, text)
+    counts = frequencies(docs, text, width)
     rows = docs.select(F.col(key).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_mark"), F.col(text).alias("_text"))
-    made = stash(sketch(rows, "_text", counts).drop("_text"), "sketches")
+    made = stash(sketch(rows, "_text", counts, width, percent).drop("_text"), "sketches")
     classes = stash(
         made.where("_c IS NOT NULL").groupBy(F.col("_c").alias("c"))
         .agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.first("_matches").alias("m"), F.first("_prefix").alias("_prefix"), F.first("_hist").alias("hist")), "classes"
@@ -286,33 +286,33 @@ def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     buckets = _buckets(classes.select(F.posexplode("_prefix").alias("i", "t"), "c", "n", "m", F.col("n").alias("r"), F.size("_prefix").alias("p")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = _bounded(pairs, classes)
+        pairs = _bounded(pairs, classes, percent)
         asked = reps.withColumnRenamed("c", "b").join(_near(pairs), "b").select("rep", F.col("b").alias("c"), "a")
         heads = reps.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi").select("rep", "c")
-        return stash(_linking(_with_sets(docs, key, text, asked), _with_sets(docs, key, text, heads)), "links")
+        return stash(_linking(_with_sets(docs, key, text, asked, width), _with_sets(docs, key, text, heads, width), percent), "links")
 
     waiting = buckets.withColumn("g", F.col("c"))
     pivots = _pivots(waiting, 1)
-    links = verified(_candidates(waiting, pivots))
+    links = verified(_candidates(waiting, pivots, percent))
     labels = components(links)
     waiting = stash(_open(buckets.join(_near(pivots), "c", "left_anti"), labels), "waiting")
-    links = links.union(verified(_candidates(waiting.where(F.col("k") <= HOT), None)))
+    links = links.union(verified(_candidates(waiting.where(F.col("k") <= HOT), None, percent)))
     labels = components(links)
     waiting = stash(_open(waiting.where(F.col("k") > HOT).drop("g"), labels), "waiting")
     sets, tokens, many = None, None, HOT
     while not waiting.isEmpty():
         still = waiting.select("c").distinct()
         still = _near(still)
-        sets = _sets(docs, key, text, reps.join(still, "c", "left_semi")) if sets is None else stash(sets.join(still, "c", "left_semi"), "sets")
+        sets = _sets(docs, key, text, reps.join(still, "c", "left_semi"), width) if sets is None else stash(sets.join(still, "c", "left_semi"), "sets")
         # tokens are listed once; later rounds only leave out the sets that are done
         tokens = stash(sets.select("c", "n", F.explode("s").alias("t")) if tokens is None else tokens.join(still, "c", "left_semi"), "tokens")
-        waiting = stash(_open(_buckets(_peeled(tokens)), labels), "waiting")
+        waiting = stash(_open(_buckets(_peeled(tokens, percent)), labels), "waiting")
         pivots = _pivots(waiting, many)
         many *= MORE
-        pairs = _bounded(_candidates(waiting, pivots), classes)
+        pairs = _bounded(_candidates(waiting, pivots, percent), classes, percent)
         asked = sets.join(_near(pairs.select("a", F.col("b").alias("c"))), "c")
         heads = sets.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi")
-        found = stash(_linking(asked, heads), "links")
+        found = stash(_linking(asked, heads, percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
@@ -325,17 +325,17 @@ def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return joined.select("_id", "_mark", "_n", F.col("g").alias("_g"), F.when(F.col("_c").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"))
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: its id, ``n_shingles`` and ``component_id``, the smallest id that is reachable by links."""
-    return linked(docs, key, text).select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return linked(docs, key, text, width, percent).select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of each component, the one of the smallest id (then of the smallest digest of its text); rows with empty sets all stay.
 
     Only the keys of the other rows meet the documents, so texts are shuffled only if those are too many to broadcast.
     """
-    rows = stash(linked(docs, key, text).where("_g IS NOT NULL").select("_id", "_mark", "_g"), "linked")
+    rows = stash(linked(docs, key, text, width, percent).where("_g IS NOT NULL").select("_id", "_mark", "_g"), "linked")
     name = F.struct(F.col("_id").isNull().alias("no"), "_id", "_mark")
     kept = rows.groupBy("_g").agg(F.min(name).alias("_b"))
     counted = rows.groupBy("_g", "_id", "_mark").agg(F.count(F.lit(1)).alias("_k"))

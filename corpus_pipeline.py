@@ -10,6 +10,8 @@ from chainwright.session import stash
 
 #: A document whose main language has a smaller share is rejected.
 MIN_SHARE = 0.5
+#: Near copies share so many per cent of their shingles of so many words.
+COPY_WIDTH, COPY_PERCENT = 5, 80
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    return jaccard.representatives(docs)
+    return jaccard.representatives(docs, width=COPY_WIDTH, percent=COPY_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

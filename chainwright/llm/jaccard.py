@@ -4,16 +4,16 @@ Two sets of ``width``-word shingles link when their Jaccard similarity is ``perc
 ``n - ceil(0.9 n)`` tokens of a set of n, so of the first ``n - ceil(0.9 n) + l`` tokens in one global order, rarest first, the two share at least l. Each document takes its
 own l by the estimated cost of its candidates; a pair must share the smaller of the two.
 
-1. Frequencies: each task adds up shingles in ``SLOTS`` counters; their sum orders tokens by frequency class and then by hash.
+1. Frequencies: each task adds up shingles in ``SLOTS`` counters; what a slot holds beyond the usual orders tokens by class and then by hash.
 2. Equal sets form one class with one representative; only classes go on.
-3. Prefix tokens that two classes hold are buckets. First, the members of a bucket are compared with its pivot, the member
-   with the most companions, not with each other. Members that are then in one component need no comparison. Of the buckets
+3. Prefix tokens that two classes hold are buckets. First, the members of a bucket are compared with its own pivot, the member
+   with the most companions, not with each other, which makes at most one row per posting. Members that are then in one component need no comparison. Of the buckets
    that still span components, those of up to ``HOT`` classes are compared pairwise.
 4. The sets in larger open buckets are counted exactly: a token that no other of these sets holds cannot be shared, so a set
    with too many of them is done, and the others choose their prefixes anew among the shared tokens. That ends groups of copies
-   that are similar but not linked, without listing their pairs. What is left is compared with ``HOT`` pivots of each bucket, then
+   that are similar but not linked, without listing their pairs. What is left is compared with ``SEVERAL`` pivots of each bucket, then
    with ``MORE`` times as many each round, until no bucket spans components.
-5. A pair goes on only if the counts of its tokens by bin leave room for a link. Links are verified on whole sets and components are found by passing on the smallest label.
+5. A pair goes on only if the counts of its tokens by bin leave room for a link. Links are verified on whole sets, the companions of a pivot in parts of about ``HOT``, and components are found by passing on the smallest label.
 
 Sets are compared by 64-bit hashes of shingles; classes have 128-bit keys. Nothing that grows with the data is collected; tables
 are broadcast only while their counted rows stay below ``BROADCAST_ROWS``.
@@ -39,10 +39,13 @@ from chainwright.session import stash
 
 WIDTH = 3
 PERCENT = 90
-SLOTS = 1 << 16
+#: Counters, and how many of them go in one row.
+SLOTS, LANES = 1 << 21, 16
 LONGEST = 8
 #: Buckets of up to so many classes are compared pairwise in the second step, larger ones go by pivots.
 HOT = 64
+#: Pivots of a bucket in the first round that counts exactly.
+SEVERAL = 8
 #: Factor by which each further round takes more pivots, so rounds grow with the logarithm of the largest bucket.
 MORE = 16
 #: Mean companions of a prefix token from which a longer prefix is taken.
@@ -64,36 +67,38 @@ def frequencies(docs: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
             for a, z in slices(sizes_of(b.column(0)), BATCH_CHARS):
                 hashes, _ = shingle_sets([x or "" for x in b.column(0).slice(a, z - a).to_pylist()], width)
                 total += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
+        rows = total.reshape(-1, LANES)
+        used = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(rows[used, i]) for i in range(LANES)]], ["at", *lanes])
 
-    found = docs.select(text).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[np.array(found["slot"], np.int64)] = np.array(found["n"])
-    return out
+    lanes = [f"n{i}" for i in range(LANES)]
+    found = docs.select(text).mapInArrow(count, "at int, " + ", ".join(f"{x} long" for x in lanes)).groupBy("at").agg(*[F.sum(x).alias(x) for x in lanes]).toArrow()
+    out = np.zeros((SLOTS // LANES, LANES), np.int64)
+    at = np.array(found["at"], np.int64)
+    for i, x in enumerate(lanes):
+        out[at, i] = np.array(found[x])
+    return out.reshape(-1)
 
 
-def _classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frequency class of each slot, and the companions that its count suggests beyond the usual one."""
-    usual = np.median(counts)
-    excess = np.maximum(counts - usual - 4 * np.sqrt(usual + 1), 0)
-    return np.floor(np.log2(excess + 1)).astype(np.int64), excess
+def _classes_of(counts: np.ndarray) -> np.ndarray:
+    """Class of each slot: half octaves of its count beyond the usual one."""
+    return np.floor(2 * np.log2(np.maximum(counts - np.median(counts), 0) + 1)).astype(np.uint8)
 
 
-def prefix_of(tokens: np.ndarray, level: np.ndarray, excess: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The prefix of one set and the matches it asks for."""
+def prefix_of(tokens: np.ndarray, level: np.ndarray, noise: float, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The prefix of one set and the matches it asks for; ``noise`` is what a slot may hold beyond the usual by chance."""
     n = len(tokens)
     need = -(-percent * n // 100)
-    slot = (tokens & np.uint64(SLOTS - 1)).astype(np.int64)
-    order = np.lexsort((tokens, level[slot]))
-    cost = excess[slot[order[: n - need + 1]]].mean()
+    own = level[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]
+    order = np.lexsort((tokens, own))
+    cost = np.maximum(np.exp2(own[order[: n - need + 1]] / 2) - 1 - noise, 0).mean()
     matches = int(min(need, 1 + max(0, np.floor(np.log2(cost / COSTLY + 1))), LONGEST))
     return tokens[order[: n - need + matches]], matches
 
 
 def sketch(docs: DataFrame, text: str, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Add ``_n`` (set size), ``_c`` (128-bit key of the set, null if empty), ``_prefix``, ``_matches`` and ``_hist``, the tokens by ``BINS``."""
-    level, excess = _classes_of(counts)
+    level, noise = _classes_of(counts), float(4 * np.sqrt(np.median(counts) + 1))
     fields = [T.StructField("_n", T.LongType()), T.StructField("_c", T.BinaryType()), T.StructField("_prefix", T.ArrayType(T.LongType())), T.StructField("_matches", T.IntegerType()), T.StructField("_hist", T.ArrayType(T.ShortType()))]
 
     def work(values: pa.Array) -> list[pa.Array]:
@@ -101,7 +106,7 @@ def sketch(docs: DataFrame, text: str, counts: np.ndarray, width: int = WIDTH, p
         size = np.diff(at)
         keys, prefixes, matches = _keys(hashes, at), [], []
         for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            got, m = prefix_of(hashes[a:z], level, excess, percent) if z > a else (hashes[:0], 0)
+            got, m = prefix_of(hashes[a:z], level, noise, percent) if z > a else (hashes[:0], 0)
             prefixes.append(got.view(np.int64))
             matches.append(m)
         flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
@@ -176,26 +181,38 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _pivots(buckets: DataFrame, many: int) -> DataFrame:
-    """Keys of the ``many`` members of each bucket that have the most companions in all their buckets."""
+    """``t`` and ``c`` of the ``many`` members of each bucket that have the most companions in all their buckets."""
     cost = _near(stash(buckets.groupBy("c").agg(F.sum("k").alias("w")), "cost"))
     ranked = buckets.select("t", "c").join(cost, "c")
     place = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("w"), "c"))
-    return stash(ranked.withColumn("_p", place).where(F.col("_p") <= many).select("c").distinct(), "pivots")
+    return stash(ranked.withColumn("_p", place).where(F.col("_p") <= many).select("t", "c"), "pivots")
 
 
-def _candidates(buckets: DataFrame, pivots: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (``a`` pivot, ``b``) of different components that may link; without pivots every member is one.
+def _fits(buckets: DataFrame, mine: DataFrame, percent: int) -> Column:
+    """Whether two postings of one token are in different components and their sizes allow a link."""
+    sizes = _may(F.col("a_n"), F.col("n"), percent) & ((100 + percent) * F.least("a_r", "r") >= percent * (F.col("a_n") + F.col("n")))
+    return (buckets["t"] == mine["t"]) & (F.col("a_g") != F.col("g")) & sizes
+
+
+def _renamed(buckets: DataFrame) -> DataFrame:
+    return buckets.select("t", *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "m", "i", "r", "p", "g")])
+
+
+def _with_pivots(buckets: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a`` pivot, ``b``) of different components whose sizes allow a link: each bucket meets its own pivots only."""
+    mine = _renamed(buckets.join(_near(pivots), ["t", "c"], "left_semi")).select("t", "a_c", "a_n", "a_r", "a_g")
+    met = buckets.select("t", "c", "n", "r", "g")
+    return met.join(mine, _fits(met, mine, percent)).select(F.col("a_c").alias("a"), F.col("c").alias("b")).distinct()
+
+
+def _candidates(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components that may link.
 
     The shared tokens of two prefixes are counted. Up to the end of the prefix that ends first they are all that the two share, and
     behind it they share at most what the shorter rest holds; together that must reach what their sizes ask for.
     """
-    mine = buckets if pivots is None else buckets.join(_near(pivots), "c", "left_semi")
-    mine = mine.select("t", *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "m", "i", "r", "p", "g")])
-    fits = _may(F.col("a_n"), F.col("n"), percent) & (F.col("a_g") != F.col("g"))
-    if pivots is None:
-        fits &= F.col("a_c") < F.col("c")
-    fits &= (100 + percent) * F.least("a_r", "r") >= percent * (F.col("a_n") + F.col("n"))
-    met = buckets.join(mine, [buckets["t"] == mine["t"], fits])
+    mine = _renamed(buckets)
+    met = buckets.join(mine, _fits(buckets, mine, percent) & (F.col("a_c") < F.col("c")))
     one = lambda x: F.first(x).alias(x)
     seen = met.groupBy(F.col("a_c").alias("a"), F.col("c").alias("b")).agg(
         F.count(F.lit(1)).alias("s"), F.max("a_i").alias("a_i"), F.max("i").alias("i"), *[one(x) for x in ("a_n", "n", "a_m", "m", "a_r", "r", "a_p", "p")]
@@ -205,15 +222,22 @@ def _candidates(buckets: DataFrame, pivots: DataFrame | None, percent: int) -> D
     return seen.where(enough & (F.col("s") >= F.least("a_m", "m"))).select("a", "b")
 
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs with the ``part`` of the companions of ``a`` that ``b`` is in, and ``c``, ``part`` of every part, so that no pivot is one group."""
+    parts = stash(pairs.groupBy("a").agg(F.ceil(F.count("b") / HOT).cast("long").alias("_parts")), "parts")
+    dealt = pairs.join(_near(parts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"))
+    return dealt, parts.select(F.col("a").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose token counts by bin leave room for a link: two sets share at most the smaller count of each bin."""
-    pairs = stash(pairs, "pairs")
-    right = classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("hist").alias("h_b")).join(_near(pairs), "b")
-    heads = stash(classes.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi").select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("hist").alias("h_a")), "heads")
+    pairs, heads = _dealt(stash(pairs, "pairs"))
+    right = classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("hist").alias("h_b")).join(_near(stash(pairs, "dealt")), "b")
+    heads = stash(classes.join(_near(heads), "c").select(F.col("c").alias("a"), "part", F.col("n").alias("n_a"), F.col("hist").alias("h_a")), "heads")
     smaller = F.zip_with("h_a", "h_b", lambda x, y: F.when((x >= FULL) & (y >= FULL), F.lit(1 << 30)).otherwise(F.least(x, y).cast("int")))
     most = F.aggregate(smaller, F.lit(0).cast("long"), lambda t, x: t + x)
     room = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    return stash(right.join(_near(heads, BROADCAST_COUNTS), "a").where(room).select("a", "b"), "bounded")
+    return stash(right.join(_near(heads, BROADCAST_COUNTS), ["a", "part"]).where(room).select("a", "b"), "bounded")
 
 
 def _with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -242,9 +266,9 @@ def _sets(docs: DataFrame, key: str, text: str, reps: DataFrame, width: int) ->
 
 
 def _linking(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) whose whole sets link, from (``a``, ``c``, ``n``, ``s``) and (``c``, ``n``, ``s``)."""
-    left = pivots.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
-    both = members.join(left, "a")
+    """Pairs (``a``, ``b``) whose whole sets link, from (``a``, ``part``, ``c``, ``n``, ``s``) and (``c``, ``part``, ``n``, ``s``)."""
+    left = pivots.select(F.col("c").alias("a"), "part", F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    both = members.join(left, ["a", "part"])
     return both.where(_links(F.col("n_a"), F.col("n"), F.size(F.array_intersect("s_a", "s")), percent)).select("a", F.col("c").alias("b")).distinct()
 
 
@@ -286,20 +310,20 @@ def linked(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: in
     buckets = _buckets(classes.select(F.posexplode("_prefix").alias("i", "t"), "c", "n", "m", F.col("n").alias("r"), F.size("_prefix").alias("p")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = _bounded(pairs, classes, percent)
-        asked = reps.withColumnRenamed("c", "b").join(_near(pairs), "b").select("rep", F.col("b").alias("c"), "a")
-        heads = reps.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi").select("rep", "c")
+        pairs, heads = _dealt(_bounded(pairs, classes, percent))
+        asked = reps.withColumnRenamed("c", "b").join(_near(pairs), "b").select("rep", F.col("b").alias("c"), "a", "part")
+        heads = reps.join(_near(heads), "c").select("rep", "c", "part")
         return stash(_linking(_with_sets(docs, key, text, asked, width), _with_sets(docs, key, text, heads, width), percent), "links")
 
     waiting = buckets.withColumn("g", F.col("c"))
     pivots = _pivots(waiting, 1)
-    links = verified(_candidates(waiting, pivots, percent))
+    links = verified(_with_pivots(waiting, pivots, percent))
     labels = components(links)
-    waiting = stash(_open(buckets.join(_near(pivots), "c", "left_anti"), labels), "waiting")
-    links = links.union(verified(_candidates(waiting.where(F.col("k") <= HOT), None, percent)))
+    waiting = stash(_open(buckets.join(_near(pivots), ["t", "c"], "left_anti"), labels), "waiting")
+    links = links.union(verified(_candidates(waiting.where(F.col("k") <= HOT), percent)))
     labels = components(links)
     waiting = stash(_open(waiting.where(F.col("k") > HOT).drop("g"), labels), "waiting")
-    sets, tokens, many = None, None, HOT
+    sets, tokens, many = None, None, SEVERAL
     while not waiting.isEmpty():
         still = waiting.select("c").distinct()
         still = _near(still)
@@ -309,14 +333,14 @@ def linked(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: in
         waiting = stash(_open(_buckets(_peeled(tokens, percent)), labels), "waiting")
         pivots = _pivots(waiting, many)
         many *= MORE
-        pairs = _bounded(_candidates(waiting, pivots, percent), classes, percent)
-        asked = sets.join(_near(pairs.select("a", F.col("b").alias("c"))), "c")
-        heads = sets.join(_near(pairs.select(F.col("a").alias("c")).distinct()), "c", "left_semi")
+        pairs, heads = _dealt(_bounded(_with_pivots(waiting, pivots, percent), classes, percent))
+        asked = sets.join(_near(pairs.select("a", F.col("b").alias("c"), "part")), "c")
+        heads = sets.join(_near(heads), "c")
         found = stash(_linking(asked, heads, percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
-        waiting = stash(_open(waiting.drop("g").join(_near(pivots), "c", "left_anti"), labels), "waiting")
+        waiting = stash(_open(waiting.drop("g").join(_near(pivots), ["t", "c"], "left_anti"), labels), "waiting")
     tagged = stash(reps.join(_near(labels), "c").select("c", "label", "rep"), "tagged")
     least = stash(tagged.groupBy("label").agg(F.min("rep").alias("component")), "least")
     better = _near(stash(tagged.join(_near(least), "label").select("c", "label", "component"), "better"))

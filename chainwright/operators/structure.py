@@ -8,6 +8,7 @@ is collected.  ``pairs`` frames carry keys, pos, px..pz (moving) and qx..qz.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,28 +191,40 @@ def score_or_default(scores: DataFrame, keys: Sequence[str], value: str, default
 # ---------------------------------------------------------------- contacts
 
 
-def pair_like(points: DataFrame, keys: Sequence[str], letter: str, distance: float = 10.5, tolerance: float = 2.5, separation: int = 4) -> DataFrame:
+def pair_like(points: DataFrame, keys: Sequence[str], letter: str, distance: float = 10.5, tolerance: float = 2.5, separation: int = 4, whole: int = 512) -> DataFrame:
     """One-to-one complementary contacts, greedily by (deviation, i, j).
 
-    The sequential rule is run as rounds of local minima: a contact that is the best
-    of both its ends is what the greedy pass would take, so all such contacts are
-    taken at once and their ends removed.  Rounds stop when no contact is left.
+    Keys of at most ``whole`` contacts are passed through in their row, without a job per
+    round.  For larger ones the sequential rule is run as rounds of local minima: a contact
+    that is the best of both its ends is what the greedy pass would take, so all such contacts
+    are taken at once and their ends removed.  Rounds stop when no contact is left.
     """
     keys = list(keys)
     near = radius_pairs(points, points, keys, distance + tolerance, separation, carry=[letter])
     deviation = F.abs(F.col("distance") - distance)
     edges = near.where(F.concat(f"{letter}_i", f"{letter}_j").isin(*COMPLEMENTS)).where(deviation <= tolerance).select(*keys, deviation.alias("deviation"), "i", "j")
-    edges = durable(edges)
-    taken: DataFrame | None = None
-    while not edges.isEmpty():
+    edges = stash(edges, "contacts")
+    sizes = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = stash(order.join_on(edges, sizes.where(F.col("_n") > whole), keys).drop("_n"), "contacts")
+    taken = [_greedy(edges, keys, whole)]
+    while not large.isEmpty():
         best = F.min(F.struct("deviation", "i", "j")).alias("_b")
-        ends = edges.select(*keys, "deviation", "i", "j", F.explode(F.array("i", "j")).alias("_end")).groupBy(*keys, "_end").agg(best)
-        mutual = durable(ends.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 2).select(*keys, "_b.deviation", "_b.i", "_b.j"))
-        taken = mutual if taken is None else taken.unionByName(mutual)
+        ends = large.select(*keys, "deviation", "i", "j", F.explode(F.array("i", "j")).alias("_end")).groupBy(*keys, "_end").agg(best)
+        mutual = stash(ends.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 2).select(*keys, "_b.deviation", "_b.i", "_b.j"), "mutual")
+        taken.append(mutual)
         used = mutual.select(*keys, F.explode(F.array("i", "j")).alias("_end"))
-        free = edges.join(used.withColumnRenamed("_end", "i"), [*keys, "i"], "left_anti").join(used.withColumnRenamed("_end", "j"), [*keys, "j"], "left_anti")
-        edges = durable(free.select(*keys, "deviation", "i", "j"))
-    return taken if taken is not None else edges
+        free = order.join_on(large, used.withColumnRenamed("_end", "i"), [*keys, "i"], "left_anti")
+        large = stash(order.join_on(free, used.withColumnRenamed("_end", "j"), [*keys, "j"], "left_anti"), "contacts")
+    return reduce(DataFrame.unionByName, taken)
+
+
+def _greedy(edges: DataFrame, keys: Sequence[str], whole: int) -> DataFrame:
+    """The greedy pass inside a row, for keys of at most ``whole`` contacts; the others are left out."""
+    sized = order.attach(edges, keys, F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= whole)
+    listed = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("deviation", "i", "j"))).alias("_e"))
+    meets = lambda a, b: (a.i == b.i) | (a.i == b.j) | (a.j == b.i) | (a.j == b.j)
+    free = lambda got, e: F.when(F.exists(got, lambda t: meets(t, e)), got).otherwise(F.concat(got, F.array(e)))
+    return listed.select(*keys, F.inline(F.aggregate("_e", F.slice("_e", 1, 0), free)))
 
 
 def pair_mask(points: DataFrame, contacts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -316,12 +329,12 @@ def local_geometry(points: DataFrame, keys: Sequence[str], letter: str, expected
     """Per position: backbone deviation, angle and torsion scores, kink and pairing."""
     keys = list(keys)
     contacts = pair_like(points, keys, letter)
-    marked = pair_mask(points, contacts, keys)
-    angles = contextual_angles(marked, keys)
+    marked = stash(pair_mask(points, contacts, keys), "marked")
+    angles = stash(contextual_angles(marked, keys), "angles")
     scored = nll_lookup(angles, "angle", "angle_context", angle_prior, "angle_nll")
     scored = nll_lookup(scored, "torsion", "torsion_context", torsion_prior, "_tn")
     steps = windows.adjacent_distance(points, keys, "pos").select(*keys, (F.col("pos") - 1).alias("pos"), F.abs(F.col("distance") - expected).alias("_step"))
-    scored = scored.join(steps, [*keys, "pos"], "left")
+    scored = stash(scored.join(steps, [*keys, "pos"], "left"), "scored")
     scored = windows.scatter_average(scored, keys, "pos", "_step", "bb_dev")
     scored = windows.scatter_average(scored, keys, "pos", "_tn", "torsion_nll")
     return scored.select(
@@ -336,14 +349,17 @@ def local_geometry(points: DataFrame, keys: Sequence[str], letter: str, expected
 
 
 def gate_features(aligned: DataFrame, keys: Sequence[str], letter: str, expected: float, angle_prior: DataFrame, torsion_prior: DataFrame) -> DataFrame:
-    """The routing features of each position of a (template, partner) pair."""
+    """The routing features of each position of a (template, partner) pair.
+
+    Each part is written before the next one is planned, so no plan holds several parts.
+    """
     keys = list(keys)
     rows = windows.rank01(aligned, keys, "t_conf", "t_rank", flat=1e-8)
     rows = windows.rank01(rows, keys, "p_conf", "p_rank", flat=1e-8)
-    rows = windows.distance_to_false(rows, keys, "pos", "t_support")
+    rows = stash(windows.distance_to_false(rows, keys, "pos", "t_support"), "ranked")
     side = lambda s: aligned.select(*keys, "pos", letter, *[F.col(f"{s}{a}").alias(a) for a in "xyz"])
     for name, prefix in (("q", "t"), ("a", "p")):
-        local = local_geometry(side(name), keys, letter, expected, angle_prior, torsion_prior)
+        local = stash(local_geometry(side(name), keys, letter, expected, angle_prior, torsion_prior), "local")
         renamed = local.withColumnsRenamed({c: f"{prefix}_{c}" for c in ("bb_dev", "angle_nll", "torsion_nll", "sharp_kink", "pair_like")})
         rows = rows.join(renamed, [*keys, "pos"])
     return rows.select(

@@ -50,11 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder, which outlives any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut the lineage by files in the shared folder, which outlive any executor; the frame is computed once."""
+    return stash(df, "cut")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -237,9 +237,8 @@ def _(t):
 def _(t):
     docs = sequences(t)
     following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("other"))
-    return docs.select("doc_id", "seq").join(following, "doc_id").select(
-        "doc_id", F.round(S.kmer_jaccard(F.col("seq"), F.col("other")), 6).alias("jaccard")
-    )
+    pairs = docs.select("doc_id", "seq").join(following, "doc_id")
+    return text.kmer_jaccard(pairs, ["doc_id"], "seq", "other").select("doc_id", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(

@@ -27,7 +27,8 @@ WINDOW, SHINGLE = 10, 3
 BROADCAST_KEYS = 1_000_000
 #: Words of a text that travel, with a window's margin on both sides, beside each shingle that begins in them.
 BLOCK = 64
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All but 0x00-2F, 3A-60 and 7B-7F. Listed one by one, ASCII letters are looked up in a table instead of compared with ranges.
+WORD = r"[0123456789abcdefghijklmnopqrstuvwxyz\x80-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
@@ -143,7 +144,7 @@ def find_overlap(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """Per document row: ``n_words``, ``hits`` (array of start and end in words) and ``items`` (sorted ids)."""
     docs = marked(docs, key, text)
     per_doc = overlaps(docs, items, broadcast_keys)
-    counted = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")), F.lit(0))
+    counted = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD.replace("z", "zABCDEFGHIJKLMNOPQRSTUVWXYZ")), F.lit(0))
     base = docs.select("_key", "_mark", F.size(counted).cast("long").alias("n_words"))
     none_hit, none_item = F.array().cast("array<struct<s:int,e:int>>"), F.array().cast(per_doc.schema["items"].dataType)
     both = base.join(per_doc, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")), "left")

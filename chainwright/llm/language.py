@@ -32,7 +32,7 @@ ROUNDS = 15
 #: Log-likelihood that one more language must gain, times the log of the number of words.
 PENALTY = 3.0
 SMOOTHING = 0.5
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 250_000
 UNKNOWN = "und"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from chainwright.functions.sequence import draw
 from chainwright.operators import order
+from chainwright.session import stash
 
 
 # ---------------------------------------------------------------- paired effects and resampling
@@ -231,28 +232,58 @@ def spearman_by(df: DataFrame, source: str, target: str, x: str, y: str, least_r
 
 
 def label_agreement(df: DataFrame, target: str, advantages: Sequence[str], digits: int = 9) -> DataFrame:
-    """For each pair of label definitions: equal decisions and rank correlations, in one long pass."""
-    centred = order.attach(df, [target], *[F.avg(a).alias(f"_m_{a}") for a in advantages])
-    pairs = [(a, b) for i, a in enumerate(advantages) for b in advantages[i + 1 :]]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("label_a"),
-                F.lit(b).alias("label_b"),
-                F.col(a).cast("double").alias("x"),
-                F.col(b).cast("double").alias("y"),
-                F.round(F.col(a) - F.col(f"_m_{a}"), digits).alias("cx"),
-                F.round(F.col(b) - F.col(f"_m_{b}"), digits).alias("cy"),
-            )
-            for a, b in pairs
-        ]
+    """For each pair of label definitions: equal decisions and rank correlations over the rows that have both.
+
+    Equal rows are counted first.  Each label is ranked once for all its pairs, and the ranks are written before
+    they meet the rows, so those of few values are broadcast.
+    """
+    names = list(advantages)
+    m = len(names)
+    centred = order.attach(df, [target], *[F.avg(a).alias(f"_m_{a}") for a in names])
+    values = [F.col(a).cast("double").alias(f"_v{i}") for i, a in enumerate(names)]
+    values += [F.round(F.col(a) - F.col(f"_m_{a}"), digits).cast("double").alias(f"_v{m + i}") for i, a in enumerate(names)]
+    every = [f"_v{s}" for s in range(2 * m)]
+    rows = stash(centred.select(*values).groupBy(*every).agg(F.count(F.lit(1)).alias("_w")), "rows")
+    has = lambda j: F.col(f"_v{j}").isNotNull()
+    ranks = stash(_label_ranks(rows, m), "ranks")
+    met = rows
+    for s in range(2 * m):
+        one = stash(ranks.where(F.col("_s") == s).select(F.col("_v").alias(f"_v{s}"), *[F.col(f"_r{j}").alias(f"_r{s}_{j}") for j in range(m) if j != s % m]), "ranks")
+        met = met.join(one, f"_v{s}", "left")
+        if s >= m:
+            met = met.drop(f"_v{s}")
+    sums, out = [], []
+    for i in range(m):
+        for j in range(i + 1, m):
+            name, w = f"{i}_{j}", F.col("_w")
+            equal = (F.col(f"_v{i}") > 0) == (F.col(f"_v{j}") > 0)
+            sums += [F.sum(F.when(equal, w).when(~equal, F.lit(0))).alias(f"_e{name}"), F.sum(F.when(has(i) & has(j), w)).alias(f"_n{name}")]
+            rho = []
+            for kind, base in (("p", 0), ("c", m)):
+                x, y = (F.when(has(i) & has(j), F.col(c)) for c in (f"_r{base + i}_{j}", f"_r{base + j}_{i}"))
+                sums += [F.sum(w * p * q).alias(f"_{kind}{k}{name}") for k, p, q in (("xy", x, y), ("xx", x, x), ("yy", y, y))]
+                xy, xx, yy = (F.col(f"_{kind}{k}{name}") for k in ("xy", "xx", "yy"))
+                rho.append(F.when((F.col(f"_n{name}") >= 2) & (xx > 0) & (yy > 0), xy / F.sqrt(xx) / F.sqrt(yy)))
+            n = F.col(f"_n{name}")
+            out.append(F.struct(F.lit(names[i]).alias("label_a"), F.lit(names[j]).alias("label_b"), (F.col(f"_e{name}") / n).alias("decision_agreement"), n.alias("n"), rho[0].alias("pooled_rho"), rho[1].alias("centred_rho")))
+    return met.agg(*sums).select(F.inline(F.array(*out))).where("n > 0")
+
+
+def _label_ranks(rows: DataFrame, m: int) -> DataFrame:
+    """Tie-averaged ranks, less their mean, of each distinct value ``_v`` of column ``_s``: ``_r<j>`` among the rows that also have label ``j``."""
+    partners = range(m)
+    with_label = F.array(*[F.when(F.col(f"_v{j}").isNotNull(), F.col("_w")).otherwise(F.lit(0).cast("long")) for j in partners])
+    sides = F.array(*[F.struct(F.lit(s).alias("_s"), F.col(f"_v{s}").alias("_v")) for s in range(2 * m)])
+    long = rows.select(with_label.alias("_k"), F.inline(sides)).where("_v IS NOT NULL")
+    counted = long.groupBy("_s", "_v").agg(*[F.sum(F.get("_k", F.lit(j))).alias(f"_c{j}") for j in partners]).withColumn("_bucket", order.order_bucket(F.col("_v")))
+    per = counted.groupBy("_s", "_bucket").agg(*[F.sum(f"_c{j}").alias(f"_in{j}") for j in partners])
+    side = Window.partitionBy("_s")
+    prefix = per.select(
+        "_s", "_bucket", *[(F.sum(f"_in{j}").over(side.orderBy("_bucket")) - F.col(f"_in{j}")).alias(f"_ahead{j}") for j in partners], *[F.sum(f"_in{j}").over(side).alias(f"_n{j}") for j in partners]
     )
-    long = centred.select(F.inline(rows))
-    keys = ["label_a", "label_b"]
-    agreement = long.groupBy(*keys).agg(F.avg(((F.col("x") > 0) == (F.col("y") > 0)).cast("double")).alias("decision_agreement"))
-    pooled = spearman(long, keys, "x", "y").withColumnRenamed("rho", "pooled_rho")
-    inner = spearman(long, keys, "cx", "cy").select(*keys, F.col("rho").alias("centred_rho"))
-    return agreement.join(pooled, keys).join(inner, keys)
+    inside = Window.partitionBy("_s", "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rank = lambda j: F.col(f"_ahead{j}") + F.sum(f"_c{j}").over(inside) - F.col(f"_c{j}") + (F.col(f"_c{j}") + 1) / 2
+    return counted.join(prefix, ["_s", "_bucket"]).select("_s", "_v", *[(rank(j) - (F.col(f"_n{j}") + 1) / 2).alias(f"_r{j}") for j in partners])
 
 
 def source_quality(df: DataFrame, split: str, target: str, labels: Mapping[str, tuple[str, str, str]]) -> DataFrame:

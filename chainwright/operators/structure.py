@@ -130,25 +130,74 @@ def fit(pairs: DataFrame, keys: Sequence[str], active: Column | None = None) ->
     return joined.select(*pairs.columns, "fitted", *rotated)
 
 
-def robust_superpose(pairs: DataFrame, keys: Sequence[str], anchor: str | None = None, trim: float = 0.8, iterations: int = 3) -> DataFrame:
+def robust_superpose(pairs: DataFrame, keys: Sequence[str], anchor: str | None = None, trim: float = 0.8, iterations: int = 3, whole: int = 1024) -> DataFrame:
     """Superposition with repeated trimming of the largest residuals.
 
     Adds ax..az, residual and inlier.  ``anchor`` names a boolean column of positions
-    to fit on; pairs with fewer than three anchors use all shared positions.  Each
-    round is written to the checkpoint folder, so the plan stays one round deep.
+    to fit on; pairs with fewer than three anchors use all shared positions.  Keys of at most
+    ``whole`` positions are gathered into a row and pass all rounds there; for larger ones each
+    round is a few jobs, written to the checkpoint folder, so the plan stays one round deep.
     """
     keys = list(keys)
     shared = V.resolved(_p()) & V.resolved(_q())
     base = shared & F.coalesce(F.col(anchor), F.lit(False)) if anchor else shared
-    rows = order.attach(pairs.withColumn("_base", base), keys, F.count_if("_base").alias("_nb"))
-    rows = rows.withColumn("_base", F.when(F.col("_nb") >= 3, F.col("_base")).otherwise(shared)).drop("_nb")
+    rows = stash(pairs.withColumns({"_shared": shared, "_base": base}), "pairs")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    large = stash(sizes.where(F.col("_k") > whole).drop("_k"), "large")
+    if large.isEmpty():
+        return durable(_superposed_in_row(rows, keys, trim, iterations))
+    some = _superposed_in_row(order.join_on(rows, large, keys, "left_anti"), keys, trim, iterations)
+    others = _superposed_by_rounds(order.join_on(rows, large, keys, "left_semi"), keys, trim, iterations)
+    return durable(some.unionByName(others))
+
+
+def _superposed_in_row(rows: DataFrame, keys: Sequence[str], trim: float, iterations: int) -> DataFrame:
+    """All rounds of ``robust_superpose`` inside the row of a key, from one shuffle."""
+    kept = [c for c in rows.columns if c not in ("_shared", "_base")]
+    start = F.when(F.size(F.filter("_r", lambda r: r["_base"])) >= 3, F.transform("_r", lambda r: r["_base"])).otherwise(F.transform("_r", lambda r: r["_shared"]))
+    state = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rows.columns)).alias("_r"))
+    state = state.withColumn("_b", start)
+    state = state.withColumn("_on", F.col("_b"))
+    axes = [f"{s}{a}" for s in "pq" for a in "xyz"]
+    for _ in range(iterations):
+        used = F.filter(F.transform("_r", lambda r, i: F.struct(F.get("_on", i).alias("on"), *[r[c].cast("double").alias(c) for c in axes])), lambda r: r["on"])
+        side = lambda s, r: tuple(r[f"{s}{a}"] for a in "xyz")
+        terms = lambda r: V.pair_statistics(side("p", r), side("q", r), total=lambda c: c)  # noqa: E731, B023
+        zero = F.struct(*[F.lit(0).cast("long" if k == "n" else "double").alias(k) for k in terms(F.struct(*[F.lit(0.0).alias(c) for c in axes]))])
+        add = lambda t, r: F.struct(*[(t[k] + F.coalesce(c, F.lit(0).cast("long") if k == "n" else F.lit(0.0))).alias(k) for k, c in terms(r).items()])  # noqa: E731, B023
+        summed = state.withColumn("_s", F.aggregate(used, zero, add))
+        names = summed.schema["_s"].dataType.fieldNames()
+        solved = V.with_rotation(summed.select("*", "_s.*").drop("_s"), "_m").drop(*names, "_s")
+        # a key of fewer than three points to fit on has no rotation
+        state = solved.withColumn("_m", F.when(F.size(F.filter("_on", lambda x: x)) >= 3, F.col("_m")))
+        m = lambda i: F.get("_m", F.lit(i))
+        point = lambda r: F.struct(*[sum((m(3 * k + c) * r[f"p{a}"] for c, a in enumerate("xyz")), m(9 + k)).alias(f"a{'xyz'[k]}") for k in range(3)])  # noqa: E731, B023
+        state = state.withColumn("_a", F.transform("_r", point))
+        away = lambda r, i: V.norm(tuple(F.get("_a", i)[f"a{a}"] - r[f"q{a}"] for a in "xyz"))
+        state = state.withColumn("_d", F.transform("_r", away))
+        fitted = F.array_sort(F.filter("_d", lambda d, i: F.get("_on", i) & d.isNotNull()))
+        state = state.withColumn("_f", fitted)
+        at = (F.size("_f") - 1) * F.lit(float(trim))
+        low, high = F.get("_f", F.floor(at).cast("int")), F.get("_f", F.ceil(at).cast("int"))
+        state = state.withColumn("_cut", F.when(F.size("_f") > 0, low + (high - low) * (at - F.floor(at))))
+        state = state.withColumn("_next", F.transform("_b", lambda b, i: F.coalesce(b & (F.get("_d", i) <= F.col("_cut")), F.lit(False))))
+        moves = (F.size("_f") > 3) & (F.size(F.filter("_next", lambda x: x)) >= 3)
+        state = state.withColumn("_on", F.when(moves, F.col("_next")).otherwise(F.col("_on"))).select(*keys, "_r", "_b", "_on", "_a", "_d")
+    whole = F.transform("_r", lambda r, i: F.struct(*[r[c].alias(c) for c in kept], F.get("_on", i).alias("inlier"), *[F.get("_a", i)[f"a{a}"].alias(f"a{a}") for a in "xyz"], F.get("_d", i).alias("residual")))
+    return state.select(F.inline(whole))
+
+
+def _superposed_by_rounds(rows: DataFrame, keys: Sequence[str], trim: float, iterations: int) -> DataFrame:
+    """``robust_superpose`` for keys of any length, a few jobs a round."""
+    rows = order.attach(rows, keys, F.count_if("_base").alias("_nb"))
+    rows = rows.withColumn("_base", F.when(F.col("_nb") >= 3, F.col("_base")).otherwise(F.col("_shared"))).drop("_nb", "_shared")
     state = durable(rows.withColumn("inlier", F.col("_base")))
     for _ in range(iterations):
         fitted = fit(state.select(*rows.columns, "inlier"), keys, F.col("inlier"))
         aligned = tuple(F.col(f"a{a}") for a in "xyz")
         fitted = fitted.withColumn("residual", V.norm(V.sub(aligned, _q()))).drop("fitted")
         cut = order.percentiles(fitted.where("inlier"), keys, "residual", {"_cut": trim}).withColumnRenamed("n", "_n")
-        joined = fitted.join(cut, keys, "left").withColumn("_next", F.col("_base") & (F.col("residual") <= F.col("_cut")))
+        joined = order.join_on(fitted, cut, keys, "left").withColumn("_next", F.col("_base") & (F.col("residual") <= F.col("_cut")))
         counted = order.attach(joined, keys, F.count_if("_next").alias("_nn"))
         moves = (F.col("_n") > 3) & (F.col("_nn") >= 3)
         moved = counted.withColumn("inlier", F.when(moves, F.col("_next")).otherwise(F.col("inlier")))

@@ -121,7 +121,7 @@ def _atom_text(t):
     f"WITH {PTS} SELECT structure AS target, CAST(count(*) AS BIGINT) AS residues, CAST(min(pos) + 1 AS INTEGER) AS first_resid, CAST(max(pos) + 1 AS INTEGER) AS last_resid FROM pts WHERE x IS NOT NULL GROUP BY 1",
 )
 def _(t):
-    atoms = files.read_atoms(t.spark, _atom_text(t))
+    atoms = files.read_atoms(t.spark, _atom_text(t), named="target")
     return atoms.groupBy(F.col("target").cast("long").alias("target")).agg(
         F.count(F.lit(1)).alias("residues"), F.min("resid").alias("first_resid"), F.max("resid").alias("last_resid")
     )
@@ -271,7 +271,7 @@ def _(t):
 
 @query("src25_write_atoms", f"WITH {PTS} SELECT structure AS target, CAST(count(*) AS BIGINT) AS lines FROM pts WHERE x IS NOT NULL GROUP BY 1")
 def _(t):
-    return t.spark.read.text(_atom_text(t)).groupBy(F.col("target").cast("long").alias("target")).agg(F.count(F.lit(1)).alias("lines"))
+    return t.spark.read.text(_atom_text(t)).groupBy(files.atom_target(F.col("value")).cast("long").alias("target")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 # ------------------------------------------------------------------ streams

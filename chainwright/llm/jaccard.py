@@ -6,8 +6,9 @@ own l by the estimated cost of its candidates; a pair must share the smaller of
 
 1. Frequencies: each task adds up shingles in ``SLOTS`` counters; what a slot holds beyond the usual orders tokens by class and then by hash.
 2. Equal sets form one class with one representative; only classes go on.
-3. Prefix tokens that two classes hold are buckets. First, the members of a bucket are compared with its own pivot, the member
-   with the most companions, not with each other, which makes at most one row per posting. Members that are then in one component need no comparison. Of the buckets
+3. Prefix tokens that two classes hold are buckets. First, each class is compared with one pivot, that of its largest bucket, where the pivot is the member
+   with the most companions; so a group of copies is one component after as many rows as it has members. Then the members of a bucket meet its own
+   pivot unless they are in its component, not each other. Members that are then in one component need no comparison. Of the buckets
    that still span components, those of up to ``HOT`` classes are compared pairwise.
 4. The sets in larger open buckets are counted exactly: a token that no other of these sets holds cannot be shared, so a set
    with too many of them is done, and the others choose their prefixes anew among the shared tokens. That ends groups of copies
@@ -15,7 +16,7 @@ own l by the estimated cost of its candidates; a pair must share the smaller of
    with ``MORE`` times as many each round, until no bucket spans components.
 5. A pair goes on only if the counts of its tokens by bin leave room for a link. Links are verified on whole sets, the companions of a pivot in parts of about ``HOT``, and components are found by passing on the smallest label.
 
-Sets are compared by 64-bit hashes of shingles; classes have 128-bit keys. Nothing that grows with the data is collected; tables
+Sets are compared by 64-bit hashes of shingles; classes have 128-bit keys and, in all that follows, numbers. Nothing that grows with the data is collected; tables
 are broadcast only while their counted rows stay below ``BROADCAST_ROWS``.
 
 Odd input: a null text, an empty one and one without words have an empty set, link with nothing and keep their own id; shorter texts
@@ -46,16 +47,20 @@ LONGEST = 8
 HOT = 64
 #: Pivots of a bucket in the first round that counts exactly.
 SEVERAL = 8
+#: Prefixes of up to so many tokens travel with their postings, so that a pair is met once and its shared tokens are counted where it is met.
+CARRIED = 64
 #: Factor by which each further round takes more pivots, so rounds grow with the logarithm of the largest bucket.
 MORE = 16
 #: Mean companions of a prefix token from which a longer prefix is taken.
 COSTLY = 16.0
 BROADCAST_ROWS = 1_000_000
+#: Tables of shared tokens, which grow fastest, are broadcast up to so many rows.
+BROADCAST_TOKENS = 100_000
 #: Bins of the token counts that bound an overlap, and the count from which a bin says nothing.
 BINS, FULL = 256, 32_000
 #: Rows with such counts (about 500 bytes) are broadcast up to so many.
 BROADCAST_COUNTS = 20_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 def frequencies(docs: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
@@ -166,26 +171,38 @@ def components(edges: DataFrame) -> DataFrame:
 def _buckets(postings: DataFrame) -> DataFrame:
     """Postings of the tokens that at least two classes hold, with the number ``k`` of holders.
 
-    A posting has the token ``t``, the class ``c``, the size ``n`` of its set, the matches ``m`` it asks for, the place ``i`` of the token among
+    Most tokens have one holder, so postings carry only what cannot be had after the join. A full posting has the token ``t``, the class ``c``, the size ``n`` of its set, the matches ``m`` it asks for, the place ``i`` of the token among
     the ``r`` tokens of the class that are in order, and the length ``p`` of its prefix.
     """
     held = stash(postings.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "tokens")
-    return stash(postings.join(_near(held), "t"), "buckets")
+    return stash(postings.join(_near(held, BROADCAST_TOKENS), "t"), "buckets")
+
+
+def _tagged(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Add ``g``, the component of each posting; without ``labels`` each class is one."""
+    if labels is None:
+        return postings.withColumn("g", F.col("c"))
+    return postings.join(_near(labels), "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label")
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets that span components, with the component ``g`` of each posting."""
-    tagged = buckets.join(_near(labels), "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label")
+    tagged = _tagged(buckets, labels)
     span = tagged.groupBy("t").agg((F.min("g") != F.max("g")).alias("_o"), F.count(F.lit(1)).alias("_k")).where("_o")
     return tagged.drop("k").join(_near(stash(span.select("t", F.col("_k").alias("k")), "open")), "t")
 
 
 def _pivots(buckets: DataFrame, many: int) -> DataFrame:
-    """``t`` and ``c`` of the ``many`` members of each bucket that have the most companions in all their buckets."""
+    """The postings (``t``, ``c``, ``n``, ``r``; ``p``, ``f`` if there is an ``f``) of the ``many`` members of each bucket that have the most companions in all their buckets."""
     cost = _near(stash(buckets.groupBy("c").agg(F.sum("k").alias("w")), "cost"))
-    ranked = buckets.select("t", "c").join(cost, "c")
+    ranked = buckets.select("t", "c", "n", "r", *[x for x in ("p", "f") if "f" in buckets.columns]).join(cost, "c")
     place = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("w"), "c"))
-    return stash(ranked.withColumn("_p", place).where(F.col("_p") <= many).select("t", "c"), "pivots")
+    return stash(ranked.withColumn("_p", place).where(F.col("_p") <= many).drop("_p", "w"), "pivots")
+
+
+def _without(buckets: DataFrame, pivots: DataFrame, many: int) -> DataFrame:
+    """The postings that have not met each other: those of the pivots leave, and so do buckets of which at most one member is left."""
+    return buckets.where(F.col("k") > many + 1).join(_near(pivots.select("t", "c")), ["t", "c"], "left_anti")
 
 
 def _fits(buckets: DataFrame, mine: DataFrame, percent: int) -> Column:
@@ -198,11 +215,19 @@ def _renamed(buckets: DataFrame) -> DataFrame:
     return buckets.select("t", *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "m", "i", "r", "p", "g")])
 
 
-def _with_pivots(buckets: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+def _with_pivots(buckets: DataFrame, pivots: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """Pairs (``a`` pivot, ``b``) of different components whose sizes allow a link: each bucket meets its own pivots only."""
-    mine = _renamed(buckets.join(_near(pivots), ["t", "c"], "left_semi")).select("t", "a_c", "a_n", "a_r", "a_g")
-    met = buckets.select("t", "c", "n", "r", "g")
-    return met.join(mine, _fits(met, mine, percent)).select(F.col("a_c").alias("a"), F.col("c").alias("b")).distinct()
+    more = [x for x in ("p", "f") if x in pivots.columns and "f" in pivots.columns]
+    mine = _near(_tagged(pivots, labels).select("t", *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "r", *more, "g")]))
+    met = _tagged(buckets.select("t", "c", "n", "r", *more), labels)
+    fits = _fits(met, mine, percent)
+    if more:
+        # up to the end of the prefix that ends first all shared tokens are in both prefixes
+        both = F.array_intersect("a_f", "f")
+        most = F.size(both) + F.greatest(F.least(F.expr("a_r - a_p"), F.col("r") - F.size(both)), F.least(F.col("a_r") - F.size(both), F.expr("r - p")))
+        once = (F.get(both, F.lit(0)) == met["t"]) & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("n")))
+        fits &= F.col("a_f").isNull() | F.col("f").isNull() | once
+    return met.join(mine, fits).select(F.col("a_c").alias("a"), F.col("c").alias("b")).distinct()
 
 
 def _candidates(buckets: DataFrame, percent: int) -> DataFrame:
@@ -241,26 +266,26 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """``wanted`` (``rep``, ``c``, more) with ``n`` and ``s``, the whole set of the class ``c``, made anew from a text.
+    """``wanted`` (``rep``, ``key``, ``c``, more) with ``n`` and ``s``, the whole set of the class ``c``, made anew from a text.
 
     The wanted rows meet the documents where they are read, so texts are not shuffled while they can be broadcast.
     """
     wanted = stash(wanted, "wanted")
-    kept = [x for x in wanted.columns if x != "rep"]
+    kept = [x for x in wanted.columns if x not in ("rep", "key")]
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    rows = rows.join(_near(wanted), F.col("_id").eqNullSafe(F.col("rep"))).select(*kept, "_text")
+    rows = rows.join(_near(wanted), F.col("_id").eqNullSafe(F.col("rep"))).select(*kept, "key", "_text")
 
     def work(values: pa.Array) -> list[pa.Array]:
         hashes, at = shingle_sets([x or "" for x in values.to_pylist()], width)
         return [_keys(hashes, at), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))]
 
     made = append(rows, "_text", [T.StructField("_of", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))], work, BATCH_CHARS)
-    return made.where(F.col("_of") == F.col("c")).select(*kept, F.size("s").cast("long").alias("n"), "s")
+    return made.where(F.col("_of") == F.col("key")).select(*kept, F.size("s").cast("long").alias("n"), "s")
 
 
 def _sets(docs: DataFrame, key: str, text: str, reps: DataFrame, width: int) -> DataFrame:
     """``c``, ``n`` and ``s`` of the classes in ``reps``."""
-    made = stash(_with_sets(docs, key, text, reps.select("rep", "c"), width), "sets")
+    made = stash(_with_sets(docs, key, text, reps.select("rep", "key", "c"), width), "sets")
     # only repeated rows of one id give a class twice
     return made if made.count() == made.select("c").distinct().count() else stash(made.dropDuplicates(["c"]), "sets")
 
@@ -272,80 +297,89 @@ def _linking(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     return both.where(_links(F.col("n_a"), F.col("n"), F.size(F.array_intersect("s_a", "s")), percent)).select("a", F.col("c").alias("b")).distinct()
 
 
-def _peeled(tokens: DataFrame, percent: int) -> DataFrame:
-    """Postings of the shared tokens of open sets (``c``, ``n``, ``t``), with ``r`` the number of shared ones.
+def _peeled(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Postings of the shared tokens of open sets (``c``, ``n``, ``t``), with ``r`` the number of shared ones and the prefix ``f``; and those tokens.
 
-    Sets that lack the shared tokens for any link leave, which may leave more tokens alone, until none does.
+    Sets that lack the shared tokens for any link leave, which may leave more tokens alone, until hardly any does; a set that stays too long is no
+    fault, it is compared. A token that nothing else holds is not looked at again.
     """
-    sets = tokens.select("c").distinct()
-    alive = None
+    before = tokens.select("c").distinct().count()
     while True:
-        here = tokens if alive is None else tokens.join(_near(alive), "c", "left_semi")
-        held = stash(here.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "held")
-        shared = stash(here.join(_near(held), "t"), "shared")
+        held = stash(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "held")
+        shared = stash(tokens.join(_near(held), "t"), "shared")
         left = shared.groupBy("c", "n").agg(F.count(F.lit(1)).alias("left"))
         now = stash(left.where(100 * F.col("left") >= percent * F.col("n")), "alive")
-        before = sets.count() if alive is None else alive.count()
-        alive = now
-        if now.count() == before:
+        after = now.count()
+        if 10 * after >= 9 * before:
             break
+        before = after
+        tokens = stash(shared.select("c", "n", "t").join(_near(now.select("c")), "c", "left_semi"), "tokens")
     # prefixes among the shared tokens, rarest first; the missing ones are already used up
     ordered = F.array_sort(F.collect_list(F.struct("k", "t")))
     again = shared.join(_near(now.select("c", "left")), "c").groupBy("c", "n", "left").agg(ordered.alias("_o"))
     missing = F.col("left") - F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     again = again.withColumn("_p", F.slice("_o", 1, (missing + 1).cast("int")))
-    return again.select("c", "n", F.lit(1).alias("m"), F.col("left").alias("r"), F.size("_p").alias("p"), F.posexplode("_p.t").alias("i", "t"))
+    return again.select("c", "n", F.lit(1).alias("m"), F.col("left").alias("r"), F.size("_p").alias("p"), F.when(F.size("_p") <= CARRIED, F.col("_p.t")).alias("f"), F.posexplode("_p.t").alias("i", "t")), shared.select("c", "n", "t")
 
 
 def linked(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``_id``, ``_mark`` (digest of the text), ``_n``, ``_g`` (key of the component, null for an empty set) and ``component`` of every row."""
     counts = frequencies(docs, text, width)
     rows = docs.select(F.col(key).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_mark"), F.col(text).alias("_text"))
-    made = stash(sketch(rows, "_text", counts, width, percent).drop("_text"), "sketches")
-    classes = stash(
-        made.where("_c IS NOT NULL").groupBy(F.col("_c").alias("c"))
-        .agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.first("_matches").alias("m"), F.first("_prefix").alias("_prefix"), F.first("_hist").alias("hist")), "classes"
-    )
-    reps = classes.select("c", "rep")
-    buckets = _buckets(classes.select(F.posexplode("_prefix").alias("i", "t"), "c", "n", "m", F.col("n").alias("r"), F.size("_prefix").alias("p")))
+    made = stash(sketch(rows, "_text", counts, width, percent).drop("_text").withColumn("_row", F.monotonically_increasing_id()), "sketches")
+    # only keys are grouped, so prefixes and counts stay where they were made
+    copies = made.where("_c IS NOT NULL").groupBy(F.col("_c").alias("_k")).agg(F.count(F.lit(1)).alias("_many"), F.min("_id").alias("_least"), F.min("_row").alias("_one"))
+    copies = _near(stash(copies.where("_many > 1").drop("_many"), "copies"))
+    own = made.where("_c IS NOT NULL").join(copies, F.col("_c") == F.col("_k"), "left").where("_one IS NULL OR _one = _row")
+    rep = F.when(F.col("_one").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("rep")
+    classes = stash(own.select(F.col("_row").alias("c"), F.col("_c").alias("key"), rep, F.col("_n").alias("n"), F.col("_matches").alias("m"), "_prefix", F.col("_hist").alias("hist")), "classes")
+    reps = classes.select("c", "key", "rep")
+    buckets = _buckets(classes.select(F.posexplode("_prefix").alias("i", "t"), "c")).join(_near(classes.select("c", "n", "m")), "c")
+    buckets = stash(buckets.withColumns({"r": F.col("n"), "p": F.expr(f"n - ({percent} * n + 99) div 100 + m")}), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs, heads = _dealt(_bounded(pairs, classes, percent))
-        asked = reps.withColumnRenamed("c", "b").join(_near(pairs), "b").select("rep", F.col("b").alias("c"), "a", "part")
-        heads = reps.join(_near(heads), "c").select("rep", "c", "part")
+        asked = reps.withColumnRenamed("c", "b").join(_near(pairs), "b").select("rep", "key", F.col("b").alias("c"), "a", "part")
+        heads = reps.join(_near(heads), "c").select("rep", "key", "c", "part")
         return stash(_linking(_with_sets(docs, key, text, asked, width), _with_sets(docs, key, text, heads, width), percent), "links")
 
-    waiting = buckets.withColumn("g", F.col("c"))
-    pivots = _pivots(waiting, 1)
-    links = verified(_with_pivots(waiting, pivots, percent))
+    pivots = _pivots(buckets, 1)
+    # one pivot for each class, that of its largest bucket, so a group of copies makes one row per member and not one per posting
+    largest = stash(buckets.groupBy("c").agg(F.max(F.struct("k", "t")).alias("_m")).select("c", F.col("_m.t").alias("t")), "largest")
+    met = largest.join(_near(pivots.withColumnsRenamed({"c": "a_c", "n": "a_n", "r": "a_r"})), "t").where("c <> a_c").join(_near(classes.select("c", "n")), "c")
+    links = verified(met.where(_may(F.col("a_n"), F.col("n"), percent)).select(F.col("a_c").alias("a"), F.col("c").alias("b")))
     labels = components(links)
-    waiting = stash(_open(buckets.join(_near(pivots), ["t", "c"], "left_anti"), labels), "waiting")
+    links = links.union(verified(_with_pivots(buckets, pivots, labels, percent)))
+    labels = components(links)
+    waiting = stash(_open(_without(buckets, pivots, 1), labels), "waiting")
     links = links.union(verified(_candidates(waiting.where(F.col("k") <= HOT), percent)))
     labels = components(links)
     waiting = stash(_open(waiting.where(F.col("k") > HOT).drop("g"), labels), "waiting")
-    sets, tokens, many = None, None, SEVERAL
+    sets, tokens, many, listed = None, None, SEVERAL, 0
     while not waiting.isEmpty():
-        still = waiting.select("c").distinct()
-        still = _near(still)
+        still = stash(waiting.select("c").distinct(), "still")
+        left, still = still.count(), _near(still)
         sets = _sets(docs, key, text, reps.join(still, "c", "left_semi"), width) if sets is None else stash(sets.join(still, "c", "left_semi"), "sets")
-        # tokens are listed once; later rounds only leave out the sets that are done
-        tokens = stash(sets.select("c", "n", F.explode("s").alias("t")) if tokens is None else tokens.join(still, "c", "left_semi"), "tokens")
-        waiting = stash(_open(_buckets(_peeled(tokens, percent)), labels), "waiting")
+        # tokens are listed once, and looked at again only when half of the sets are done; else the postings stay as they are
+        if tokens is None or 2 * left <= listed:
+            tokens = stash(sets.select("c", "n", F.explode("s").alias("t")) if tokens is None else tokens.join(still, "c", "left_semi"), "tokens")
+            postings, tokens = _peeled(tokens, percent)
+            waiting, listed = stash(_open(_buckets(postings), labels), "waiting"), left
         pivots = _pivots(waiting, many)
-        many *= MORE
-        pairs, heads = _dealt(_bounded(_with_pivots(waiting, pivots, percent), classes, percent))
+        pairs, heads = _dealt(_bounded(_with_pivots(waiting, pivots, labels, percent), classes, percent))
         asked = sets.join(_near(pairs.select("a", F.col("b").alias("c"), "part")), "c")
         heads = sets.join(_near(heads), "c")
         found = stash(_linking(asked, heads, percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
-        waiting = stash(_open(waiting.drop("g").join(_near(pivots), ["t", "c"], "left_anti"), labels), "waiting")
+        waiting = stash(_open(_without(waiting, pivots, many).drop("g"), labels), "waiting")
+        many *= MORE
     tagged = stash(reps.join(_near(labels), "c").select("c", "label", "rep"), "tagged")
     least = stash(tagged.groupBy("label").agg(F.min("rep").alias("component")), "least")
     better = _near(stash(tagged.join(_near(least), "label").select("c", "label", "component"), "better"))
-    members = reps.join(better, "c", "left").select("c", F.coalesce("label", "c").alias("g"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
-    joined = made.select("_id", "_mark", "_n", "_c").join(members, F.col("_c") == F.col("c"), "left")
+    members = reps.join(better, "c", "left").select("key", F.coalesce("label", "c").alias("g"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
+    joined = made.select("_id", "_mark", "_n", "_c").join(members, F.col("_c") == F.col("key"), "left")
     return joined.select("_id", "_mark", "_n", F.col("g").alias("_g"), F.when(F.col("_c").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"))
 
 

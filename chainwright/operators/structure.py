@@ -7,9 +7,11 @@ is collected.  ``pairs`` frames carry keys, pos, px..pz (moving) and qx..qz.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,19 +245,24 @@ def score_or_default(scores: DataFrame, keys: Sequence[str], value: str, default
 def pair_like(points: DataFrame, keys: Sequence[str], letter: str, distance: float = 10.5, tolerance: float = 2.5, separation: int = 4, whole: int = 512) -> DataFrame:
     """One-to-one complementary contacts, greedily by (deviation, i, j).
 
-    Keys of at most ``whole`` contacts are passed through in their row, without a job per
-    round.  For larger ones the sequential rule is run as rounds of local minima: a contact
-    that is the best of both its ends is what the greedy pass would take, so all such contacts
-    are taken at once and their ends removed.  Rounds stop when no contact is left.
+    Keys of at most ``whole`` points are gathered into a row, which finds its contacts and passes
+    through them, without a join of points or a job per round.  For larger ones the sequential
+    rule is run as rounds of local minima: a contact that is the best of both its ends is what the
+    greedy pass would take, so all such contacts are taken at once and their ends removed.  Rounds
+    stop when no contact is left.
     """
     keys = list(keys)
-    near = radius_pairs(points, points, keys, distance + tolerance, separation, carry=[letter])
+    known = points.select(*keys, "pos", "x", "y", "z", letter)
+    known = known.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in known.columns]))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole).select(*keys)
+    if sizes.isEmpty():
+        return stash(_contacts_in_row(known, keys, letter, distance, tolerance, separation), "contacts")
+    sizes = stash(sizes, "large")
+    taken = [stash(_contacts_in_row(known.join(sizes, keys, "left_anti"), keys, letter, distance, tolerance, separation), "contacts")]
+    many = known.join(sizes, keys, "left_semi")
+    near = radius_pairs(many, many, keys, distance + tolerance, separation, carry=[letter])
     deviation = F.abs(F.col("distance") - distance)
-    edges = near.where(F.concat(f"{letter}_i", f"{letter}_j").isin(*COMPLEMENTS)).where(deviation <= tolerance).select(*keys, deviation.alias("deviation"), "i", "j")
-    edges = stash(edges, "contacts")
-    sizes = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = stash(order.join_on(edges, sizes.where(F.col("_n") > whole), keys).drop("_n"), "contacts")
-    taken = [_greedy(edges, keys, whole)]
+    large = stash(near.where(F.concat(f"{letter}_i", f"{letter}_j").isin(*COMPLEMENTS)).where(deviation <= tolerance).select(*keys, deviation.alias("deviation"), "i", "j"), "contacts")
     while not large.isEmpty():
         best = F.min(F.struct("deviation", "i", "j")).alias("_b")
         ends = large.select(*keys, "deviation", "i", "j", F.explode(F.array("i", "j")).alias("_end")).groupBy(*keys, "_end").agg(best)
@@ -267,13 +274,44 @@ def pair_like(points: DataFrame, keys: Sequence[str], letter: str, distance: flo
     return reduce(DataFrame.unionByName, taken)
 
 
-def _greedy(edges: DataFrame, keys: Sequence[str], whole: int) -> DataFrame:
-    """The greedy pass inside a row, for keys of at most ``whole`` contacts; the others are left out."""
-    sized = order.attach(edges, keys, F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= whole)
-    listed = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("deviation", "i", "j"))).alias("_e"))
-    meets = lambda a, b: (a.i == b.i) | (a.i == b.j) | (a.j == b.i) | (a.j == b.j)
-    free = lambda got, e: F.when(F.exists(got, lambda t: meets(t, e)), got).otherwise(F.concat(got, F.array(e)))
-    return listed.select(*keys, F.inline(F.aggregate("_e", F.slice("_e", 1, 0), free)))
+def _contacts_in_row(points: DataFrame, keys: Sequence[str], letter: str, distance: float, tolerance: float, separation: int) -> DataFrame:
+    """Contacts of each key and the greedy pass through them, inside the row that its points are gathered into."""
+    axes = [F.col(a).cast("double").alias(a) for a in "xyz"]
+    listed = points.groupBy(*keys).agg(F.collect_list(F.struct("pos", *axes, F.col(letter).alias("c"))).alias("_r"))
+    position = points.schema["pos"].dataType
+    fields = [*listed.select(*keys).schema.fields, T.StructField("deviation", T.DoubleType()), T.StructField("i", position), T.StructField("j", position)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch["_r"].flatten(), np.cumsum(np.array(batch["_r"].value_lengths()))
+            pos, x, y, z = (np.array(flat.field(c)) for c in ("pos", "x", "y", "z"))
+            kinds = flat.field("c").dictionary_encode()
+            names, kind = kinds.dictionary.to_pylist(), np.array(kinds.indices)
+            fits = np.array([[a + b in COMPLEMENTS for b in names] for a in names], bool).reshape(len(names), len(names))
+            rows, got = [], []
+            for row, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                at, n = pos[start:end], kind[start:end]
+                sides = [v[start:end, None] - v[None, start:end] for v in (x, y, z)]
+                with np.errstate(all="ignore"):
+                    apart = np.sqrt(sides[0] * sides[0] + sides[1] * sides[1] + sides[2] * sides[2])
+                    deviation = np.abs(apart - distance)
+                    met = (at[None, :] - at[:, None] >= separation) & fits[n[:, None], n[None, :]] & (apart <= distance + tolerance) & (deviation <= tolerance)
+                a, b = np.nonzero(met)
+                d, a, b = deviation[a, b], at[a], at[b]
+                best = np.lexsort((b, a, d))
+                used = set()
+                for e in zip(d[best].tolist(), a[best].tolist(), b[best].tolist(), strict=True):
+                    if e[1] not in used and e[2] not in used:
+                        used.update(e[1:])
+                        rows.append(row)
+                        got.append(e)
+            columns = [batch[c].take(pa.array(rows, pa.int64())) for c in keys]
+            number = flat.field("pos").type
+            for k, kept in enumerate((pa.float64(), number, number)):
+                columns.append(pa.array([e[k] for e in got], kept))
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+
+    return listed.mapInArrow(run, T.StructType(fields))
 
 
 def pair_mask(points: DataFrame, contacts: DataFrame, keys: Sequence[str]) -> DataFrame:
